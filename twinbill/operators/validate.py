@@ -107,10 +107,13 @@ def _codes() -> list[Column]:
     exact = text.try_cast("decimal(38,18)")
     codes += [
         when(as_date(F.col("invoice_date")).isNull(), "invoice_date_invalid"),
-        when(~text.rlike(DECIMAL_FORM) | exact.isNull(), "amount_not_a_number"),
-        when(exact <= 0, "amount_not_positive"),
-        when(exact > MAX_AMOUNT, "amount_too_large"),
-        when(exact != F.round(exact, 2), "amount_decimals"),
+        when(~text.rlike(DECIMAL_FORM), "amount_not_a_number"),
+        # a number too long for the decimal type is NULL here
+        F.when(exact <= 0, "amount_not_positive"),
+        F.when(
+            (exact > MAX_AMOUNT) | (exact.isNull() & text.rlike(DECIMAL_FORM)), "amount_too_large"
+        ),
+        F.when(exact != F.round(exact, 2), "amount_decimals"),
         when(~F.col("currency").rlike(CURRENCY_FORM), "currency_form"),
         when(F.length("po_number") > PO_LENGTH, "po_number_length"),
         when(F.length("description") > DESCRIPTION_LENGTH, "description_length"),
