@@ -131,6 +131,11 @@ def _ratio_udf(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(values, mask=np.isnan(values))
 
 
+# Spark may repeat a deterministic UDF below a filter that was written above it;
+# this keeps every batch at one evaluation.
+_ratio_udf = _ratio_udf.asNondeterministic()
+
+
 def similarity(left: Column, right: Column, needed: Column | None = None) -> Column:
     """Similarity of two text columns in [0, 1].
 

@@ -65,15 +65,12 @@ def normalize_identifier(text: Column) -> Column:
     folded = F.translate(text, "".join(single), "".join(single.values()))
     listed = ";".join(f"{ch}={image}" for ch, image in longer.items())
     images = F.str_to_map(F.lit(listed), F.lit(";"), F.lit("="))
-    spelled = F.array_join(
-        F.transform(
-            F.split(folded, ""),
-            lambda ch: F.when(is_ascii(ch), ch).otherwise(F.coalesce(images[ch], F.lit(""))),
-        ),
-        "",
+    # what is left beyond ASCII is replaced once per distinct character
+    left = F.array_distinct(F.regexp_extract_all(folded, F.lit(r"[^\x00-\x7F]"), F.lit(0)))
+    spelled = F.aggregate(
+        left, folded, lambda done, ch: F.replace(done, ch, F.coalesce(images[ch], F.lit("")))
     )
-    has_longer = folded.rlike("[" + "".join(longer) + "]")
-    plain = F.when(is_ascii(text), text).when(has_longer, spelled).otherwise(folded)
+    plain = F.when(is_ascii(text), text).when(is_ascii(folded), folded).otherwise(spelled)
     return F.upper(F.regexp_replace(plain, "[^A-Za-z0-9]+", ""))
 
 

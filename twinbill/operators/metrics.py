@@ -10,6 +10,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinbill.session import materialize
+
 # Distinct scores one task should accumulate at most.
 SCORES_PER_BIN = 2_000_000
 
@@ -91,6 +93,7 @@ def _score_bins(counts: DataFrame) -> DataFrame:
     the distinct scores cut them into ranges that tasks accumulate on their
     own; only one total per range is carried over.
     """
+    counts = materialize(counts, "scores")  # counted, cut and accumulated below
     parts = -(-counts.count() // SCORES_PER_BIN)
     if parts <= 1:
         return counts.withColumn("bin", F.lit(0.0))
