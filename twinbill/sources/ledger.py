@@ -144,18 +144,29 @@ def recurring_lookalikes(base: DataFrame) -> DataFrame:
     """Legitimate repeats, in groups of their own: a vendor's invoice that takes
     amount and description of the vendor's previous one 18 to 55 days later.
 
-    ``lag`` sees one vendor's rows in one task but streams through them.
+    The previous invoice is looked up within the vendor's day first; across
+    days only each day's last invoice is ranked. So no task sorts all rows of
+    a large vendor.
     """
     key = F.col("key")
-    by_vendor = Window.partitionBy("vendor_account_id").orderBy("invoice_date", "invoice_id")
-
-    def previous(name: str) -> Column:
-        return F.lag(name).over(by_vendor)
-
-    first, last = RECURRING_DAYS
-    seen = base.withColumns(
-        {f"previous_{c}": previous(c) for c in ("invoice_date", "cents", "description", "po_number")}
+    day = ["vendor_account_id", "invoice_date"]
+    taken = F.struct("invoice_date", "cents", "description", "po_number")
+    within_day = Window.partitionBy(*day).orderBy("invoice_id")
+    across_days = Window.partitionBy("vendor_account_id").orderBy("invoice_date")
+    days = (
+        base.groupBy(*day)
+        .agg(F.max_by(taken, F.col("invoice_id")).alias("last"))
+        .select(*day, F.lag("last").over(across_days).alias("carried"))
     )
+    seen = (
+        base.withColumn("same_day", F.lag(taken).over(within_day))
+        .join(days, day)
+        .withColumn("previous", F.coalesce("same_day", "carried"))
+        .select(*base.columns, "previous.*")
+    )
+    names = [f"previous_{c}" for c in ("invoice_date", "cents", "description", "po_number")]
+    seen = seen.toDF(*base.columns, *names)
+    first, last = RECURRING_DAYS
     repeats = (key % 50 >= 41) & F.col("previous_invoice_date").isNotNull()
     return seen.withColumns(
         {
