@@ -114,7 +114,11 @@ def band_pairs(
         near = [F.col("amount_bucket") + step for step in (-1, 0, 1)]
         right = right.withColumn("amount_bucket", F.explode(F.array(*near)))
 
-    large = _oversize(left, keys, cell_rows) if cell_rows else None
+    cells = left.select(*keys)
+    if "amount_bucket" in keys:
+        # a neighbouring amount bucket may crowd the right side only
+        cells = cells.unionByName(right.select(*keys))
+    large = _oversize(cells, keys, cell_rows) if cell_rows else None
     if large is not None:
         cuts = F.coalesce(F.col("cuts"), F.lit(1))
         own = F.pmod(F.xxhash64("invoice_id"), cuts)
