@@ -586,11 +586,36 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the optional subpackage; nothing if it is not there."""
+    try:
+        from twinbill.llm import queries as llm
+    except ModuleNotFoundError as missing:
+        if not (missing.name or "").startswith("twinbill.llm"):
+            raise
+        return {}, {}
+    except ImportError as missing:
+        if missing.name != "twinbill.llm":
+            raise
+        return {}, {}
+    found, sql = llm.queries(), llm.oracle_sql()
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as missing:
+        if missing.name != "corpus_pipeline":
+            raise
+    else:
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each takes (spark, sf_dir)."""
-    return dict(_QUERIES)
+    return dict(_QUERIES) | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins; iterative training and its consumers have none."""
-    return dict(oracle.ORACLES)
+    return dict(oracle.ORACLES) | _training_data()[1]
