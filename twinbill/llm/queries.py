@@ -9,6 +9,7 @@ from pyspark.sql import functions as F  # noqa: F401
 
 from .benchmark import contamination
 from .bpe import digests
+from .line_dedup import line_dedup
 from .near_dup import NearDup, near_duplicates
 
 
@@ -35,11 +36,18 @@ def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDup(width=2))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "removed_lines", F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_minhash_near_dup": op5_minhash_near_dup,
+        "op8_line_dedup": op8_line_dedup,
     }
 
 
