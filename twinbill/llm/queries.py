@@ -11,6 +11,7 @@ from .benchmark import contamination
 from .bpe import digests
 from .line_dedup import line_dedup
 from .near_dup import NearDup, near_duplicates
+from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), byte_bpe())
 
@@ -45,6 +50,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op3_toxicity": op3_toxicity,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_minhash_near_dup": op5_minhash_near_dup,
         "op8_line_dedup": op8_line_dedup,
