@@ -9,9 +9,11 @@
    The population count of the XOR of two sketches estimates the similarity;
    pairs clearly below the threshold go.
 3. The rest is confirmed on full shingle sets, with integers.
-4. Members of a band key that are still apart are compared with all members of
-   the key's other components (sketches inside the join, then full sets), so a
-   link that does not touch the smallest class is found too.
+4. A band key whose members still lie in several components is looked at again,
+   so that a link that does not touch the smallest class is found too. Each
+   member outside the key's main component is compared with the whole of that
+   component, sketches first, then full sets, inside the join: only links
+   come out. Members outside it are compared with each other by band key.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ class NearDup:
     percent: int = 80
     bands: int = 56
     rows_per_band: int = 7
-    sketch_bits: int = 512
+    sketch_bits: int = 1024
     deviations: float = 5.0
 
     @property
@@ -56,8 +58,11 @@ class NearDup:
         """Largest XOR population count that a pair at the threshold may show."""
         j, k, n = self.percent / 100, self.samples, self.sketch_bits
         unequal = 2 * k * (1 - j)
-        odd = n / 2 * (1 - exp(-2 * unequal / n))
-        spread = sqrt(n / 4) + 2 * sqrt(k * j * (1 - j)) * exp(-2 * unequal / n)
+        fade = exp(-2 * unequal / n)
+        odd = n / 2 * (1 - fade)
+        by_bits = n / 4 * (1 - fade**2) - unequal * fade**2
+        by_samples = 4 * k * j * (1 - j) * fade**2
+        spread = sqrt(max(0.0, by_bits) + by_samples)
         return min(n, round(odd + self.deviations * spread))
 
 
@@ -158,21 +163,31 @@ def _odd_bits(left: str, right: str, rule: NearDup):
     return total
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, rule: NearDup) -> DataFrame:
-    """Those ``(u, v)`` whose full sets are similar enough."""
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = materialize(
+def _sets(ids: DataFrame, docs: DataFrame, rule: NearDup) -> DataFrame:
+    """``(id, items)`` for the ids, read from the texts once."""
+    return materialize(
         only(docs, "doc_id", "text")
-        .join(wanted, "doc_id", "left_semi")
+        .join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
         .mapInArrow(_full_sets(rule), "id long, items array<long>"),
         "sets",
     )
+
+
+def _similar(left: str, right: str, rule: NearDup):
+    shared = F.size(F.array_intersect(left, right))
+    return 100 * shared >= rule.percent * (F.size(left) + F.size(right) - shared)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, rule: NearDup) -> DataFrame:
+    """Those ``(u, v)`` whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("u"), F.col("items").alias("left_items"))
     right = sets.select(F.col("id").alias("v"), F.col("items").alias("right_items"))
-    shared = F.size(F.array_intersect("left_items", "right_items"))
-    union = F.size("left_items") + F.size("right_items") - shared
     return (
-        pairs.join(right, "v").join(left, "u").where(100 * shared >= rule.percent * union).select("u", "v")
+        pairs.join(right, "v")
+        .join(left, "u")
+        .where(_similar("left_items", "right_items", rule))
+        .select("u", "v")
+        .distinct()
     )
 
 
@@ -211,35 +226,62 @@ def near_duplicates(docs: DataFrame, rule: NearDup | None = None) -> DataFrame:
         "pairs",
     )
     same_id = member_of.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links = materialize(_confirmed(first, docs, rule).distinct(), "confirmed")
+    first_ids = first.select(F.col("u").alias("id")).union(first.select("v"))
+    links = materialize(_confirmed(first, _sets(first_ids, docs, rule), rule), "confirmed")
     label = components(links)
 
-    # Band keys that still hold several components: compare across them.
-    placed = met.select("band", F.col("v").alias("id"), "u").join(label, "id", "left").select(
-        "band", "id", "u", F.coalesce("component", "id").alias("c")
+    # Band keys that still hold several components, and the largest of each.
+    placed = materialize(
+        met.select("band", F.col("v").alias("id"), "u")
+        .join(label, "id", "left")
+        .select("band", "id", "u", F.coalesce("component", "id").alias("c")),
+        "placed",
     )
-    placed = materialize(placed, "placed")
+    parts = placed.groupBy("band", "c").agg(F.count("*").alias("n"))
     mixed = (
-        placed.groupBy("band")
-        .agg(F.min("c").alias("main"), F.max("c").alias("other"), F.count("*").alias("n"))
-        .where("main < other and n > 2")
+        parts.groupBy("band")
+        .agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("k"), F.sum("n").alias("n"))
+        .where("k > 1 and n > 2")
+    )
+    apart = materialize(
+        placed.join(mixed.select("band", "main"), "band").where("c <> main"), "apart"
+    )
+    sketches = reps.select("doc_id", "sketch")
+
+    # Against the main component.
+    members = label.unionByName(
+        reps.select(F.col("doc_id").alias("id")).join(label, "id", "left_anti").select("id", F.col("id").alias("component"))
+    ).join(apart.select(F.col("main").alias("component")).distinct(), "component", "left_semi")
+    members = materialize(members, "members")
+    outside = apart.select(F.col("id").alias("u"), "main").distinct()
+    wanted = members.select("id").union(outside.select("u"))
+    sets = _sets(wanted, docs, rule)
+    left = (
+        outside.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("su")), "u")
+        .join(sets.select(F.col("id").alias("u"), F.col("items").alias("left_items")), "u")
     )
-    apart = placed.join(mixed.select("band", "main"), "band").join(
-        sketch_v.select(F.col("v").alias("id"), F.col("sv").alias("s")), "id"
+    right = (
+        members.select(F.col("id").alias("v"), F.col("component").alias("main"))
+        .join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sv")), "v")
+        .join(sets.select(F.col("id").alias("v"), F.col("items").alias("right_items")), "v")
     )
-    apart = materialize(apart, "apart")
-    x = apart.where("c <> main").select("band", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("s").alias("su"), F.col("u").alias("pivot"))
-    y = apart.select("band", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("s").alias("sv"), "main")
-    across = (
+    to_main = (
+        left.join(right, "main").where(close & _similar("left_items", "right_items", rule)).select("u", "v").distinct()
+    )
+
+    # Among those outside it.
+    rest = apart.join(sketches.select(F.col("doc_id").alias("id"), F.col("sketch").alias("s")), "id")
+    x = rest.select("band", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("s").alias("su"), F.col("u").alias("pivot"))
+    y = rest.select("band", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("s").alias("sv"))
+    across = materialize(
         x.join(y, "band")
-        .where((F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v"))))
-        .where((F.col("u") != F.col("pivot")) & (F.col("v") != F.col("pivot")))
+        .where("cu <> cv and u < v and u <> pivot")
         .where(close)
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        .distinct()
+        .select("u", "v")
+        .distinct(),
+        "across",
     )
-    across = materialize(across, "across")
-    more = materialize(_confirmed(across, docs, rule).distinct(), "confirmed")
+    more = materialize(to_main.unionByName(_confirmed(across, sets, rule)), "confirmed")
 
     label = components(links.unionByName(more).unionByName(same_id))
     return (

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F  # noqa: F401
 
 from .benchmark import contamination
 from .bpe import digests
+from .chunks import substring_dedup
 from .line_dedup import line_dedup
+from .lm import lm_scores
 from .near_dup import NearDup, near_duplicates
 from .toxicity import toxicity
 
@@ -41,19 +43,32 @@ def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDup(width=2))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """removed_bytes is above 0 for documents that repeat a passage of an earlier one."""
+    return substring_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chunks", "repeated_chunks", "removed_bytes", F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "removed_lines", F.sha2("text", 256).alias("text_sha256")
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_toxicity": op3_toxicity,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_minhash_near_dup": op5_minhash_near_dup,
+        "op6_substring_dedup": op6_substring_dedup,
         "op8_line_dedup": op8_line_dedup,
+        "op9_lm_scoring": op9_lm_scoring,
     }
 
 
