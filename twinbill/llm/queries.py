@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
+from .ann import nearest_neighbours
 from .benchmark import contamination
 from .bpe import digests
 from .chunks import substring_dedup
 from .line_dedup import line_dedup
 from .lm import lm_scores
 from .near_dup import NearDup, near_duplicates
+from .token_counts import token_counts
 from .toxicity import toxicity
+from .url_filter import Rule, canonical, host, judge, path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,11 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +58,26 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = (
+    Rule("allow", "com", "/"),
+    Rule("block", "example.com", "/en/"),
+    Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"),
+    Rule("block", "net", "/fr/"),
+)
+#: Labels in hosts whose pages make up the block list of the query.
+UNWANTED_HOSTS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    url = F.col("url")
+    listed = pages.where(host(url).rlike(rf"(^|\.)({'|'.join(UNWANTED_HOSTS)})\.")).select(
+        canonical(host(url), path(url)).alias("canonical")
+    )
+    return judge(pages, listed, URL_RULES)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "removed_lines", F.sha2("text", 256).alias("text_sha256")
@@ -60,17 +88,53 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_multi_index_hashing": op1_multi_index_hashing,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_toxicity": op3_toxicity,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_minhash_near_dup": op5_minhash_near_dup,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_url_filter": op7_url_filter,
         "op8_line_dedup": op8_line_dedup,
         "op9_lm_scoring": op9_lm_scoring,
+        "op10_token_counts": op10_token_counts,
     }
 
 
+_HOST = "regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1)"
+_PATH = "regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2)"
+
+URL_FILTER_SQL = f"""
+WITH parsed AS (
+  SELECT page_id,
+         translate(coalesce({_HOST}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce({_PATH}, '') AS path
+  FROM pages
+), named AS (
+  SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') AS canonical FROM parsed
+), listed AS (
+  SELECT DISTINCT canonical FROM named
+  WHERE regexp_matches(host, '(^|\\.)({'|'.join(UNWANTED_HOSTS)})\\.')
+), rules(verdict, rule_host, rule_path) AS (
+  VALUES {', '.join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)}
+), fits AS (
+  SELECT n.*, l.canonical IS NOT NULL AS listed, r.verdict AS rule_verdict, rule_host || rule_path AS rule
+  FROM named n
+  LEFT JOIN listed l ON l.canonical = n.canonical
+  LEFT JOIN rules r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule,
+       coalesce(arg_max(rule_verdict, length(rule)), CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict,
+       listed
+FROM fits GROUP BY page_id, host, path, listed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filter": URL_FILTER_SQL}
