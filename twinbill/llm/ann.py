@@ -38,7 +38,7 @@ PIECE = 16
 class MultiIndex:
     """``bits`` in a code (a multiple of 16), vectors of the fitting sample, and sizes of the search."""
 
-    bits: int = 512
+    bits: int = 256
     sample_rows: int = 10_000
     rounds: int = 20
     shard_rows: int = 32_768
