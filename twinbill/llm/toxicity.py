@@ -36,9 +36,10 @@ from .text import column_bytes, row_of, spans, steps
 class ToxicityRule:
     sample_rows: int = 20_000
     terms: int = 128
-    #: Least lower bound of the share of toxic documents among those with a word, or with a stem.
-    least_share: float = 0.55
-    least_stem_share: float = 0.25
+    #: How far the lower bound of the share of toxic documents among those with a word, or a
+    #: stem, must lie above the share among all, as a part of what is possible.
+    least_lift: float = 0.4
+    least_stem_lift: float = 0.15
     #: Least number of toxic documents of the sample that have a term.
     least_documents: int = 8
     confidence: float = 2.58
@@ -315,6 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, rule: ToxicityRule | None = None) ->
     """Lexicon and classifier. Without labels of both kinds all scores are one half or the base rate."""
     rule = rule or ToxicityRule()
     sample = _sample(docs, labels, rule)
+    whole = sample.agg(F.avg("toxic")).first()[0] or 0.0
     n, z = F.col("toxic") + F.col("clean"), rule.confidence
     share = F.col("toxic") / n
     low = (
@@ -325,7 +327,9 @@ def fit(docs: DataFrame, labels: DataFrame, rule: ToxicityRule | None = None) ->
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where(F.col("toxic") >= rule.least_documents)
-        .where(low >= F.when(F.col("term").endswith("~"), rule.least_stem_share).otherwise(rule.least_share))
+        .where(
+            low >= whole + (1 - whole) * F.when(F.col("term").endswith("~"), rule.least_stem_lift).otherwise(rule.least_lift)
+        )
         .orderBy(F.desc("toxic"), "term")
         .limit(20 * rule.terms)  # of a sample of bounded size
         .collect()
@@ -352,7 +356,6 @@ def fit(docs: DataFrame, labels: DataFrame, rule: ToxicityRule | None = None) ->
         .collect()
     )  # two rows a term at most
     by_kind = {r["value"]: (r["toxic"], r["n"]) for r in seen}
-    whole = sample.agg(F.avg("toxic")).first()[0] or 0.0
     for value in range(len(model.weight)):
         toxic, n = by_kind.get(value, (0, 0))
         # Share above that of all documents; misspellings not in the sample count for most of the term.
