@@ -163,11 +163,18 @@ def _odd_bits(left: str, right: str, rule: NearDup):
     return total
 
 
+#: Ids that are sent to all executors at most; more are joined by a shuffle of the texts.
+BROADCAST_IDS = 2_000_000
+
+
 def _sets(ids: DataFrame, docs: DataFrame, rule: NearDup) -> DataFrame:
     """``(id, items)`` for the ids, read from the texts once."""
+    wanted = ids.select(F.col("id").alias("doc_id")).distinct()
+    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     return materialize(
         only(docs, "doc_id", "text")
-        .join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        .join(wanted, "doc_id", "left_semi")
         .mapInArrow(_full_sets(rule), "id long, items array<long>"),
         "sets",
     )
