@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+import numpy as np  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_queries as oracle  # noqa: E402
@@ -35,11 +38,18 @@ from twinbill.operators.features import (  # noqa: E402
 )
 from twinbill.operators.scoring import Model, decide, evidence, score  # noqa: E402
 from twinbill.params import TriageParams  # noqa: E402
+from twinbill.plans.compare_runs import compare_runs  # noqa: E402
+from twinbill.plans.score_csv import score_csv  # noqa: E402
 from twinbill.plans.training import train_and_evaluate, write_run  # noqa: E402
 from twinbill.plans.triage import flagged_pairs, triage  # noqa: E402
 from twinbill.schema import FEATURE_NAMES  # noqa: E402
 from twinbill.session import materialize, scratch_path  # noqa: E402
-from twinbill.sources.files import read_csv, read_json_batches  # noqa: E402
+from twinbill.sources.files import (  # noqa: E402
+    read_csv,
+    read_json_batches,
+    write_json,
+    write_sample,
+)
 from twinbill.sources.ledger import (  # noqa: E402
     base_ledger,
     inject,
@@ -61,15 +71,6 @@ FIXED_MODEL = Model(
     intercept=oracle.INTERCEPT,
     threshold=oracle.THRESHOLD,
 )
-_NATIVE = [FEATURE_NAMES.index(name) for name in oracle.NATIVE_FEATURES]
-NATIVE_MODEL = Model(
-    mean=tuple(oracle.MEAN[i] for i in _NATIVE),
-    scale=tuple(oracle.SCALE[i] for i in _NATIVE),
-    coefficient=tuple(oracle.COEFFICIENT[i] for i in _NATIVE),
-    intercept=oracle.NATIVE_INTERCEPT,
-    threshold=oracle.NATIVE_THRESHOLD,
-    feature_names=oracle.NATIVE_FEATURES,
-)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -262,7 +263,7 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(spark, sf_dir).select("invoice_id", "vendor_account_id", "amount")
-    return B.lookup_sides(_close_pairs(spark, sf_dir).select(*PAIR), rows)
+    return B.lookup_sides(candidate_pairs(spark, sf_dir).select(*PAIR), rows)
 
 
 def _recall(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -275,22 +276,21 @@ def candidate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def amount_gap_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the amount branch alone, beside that of the whole rule."""
     return _recall(ledger(spark, sf_dir), _close_pairs(spark, sf_dir))
 
 
 # --- features and scores ----------------------------------------------------
 
 
-def _native_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _close_pairs(spark, sf_dir)
+def native_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features that need no text, on all pairs of the blocks."""
+    rows = (
+        _band(spark, sf_dir)
         .withColumns({**native_features(), "pair_type": pair_type(), "exposure": exposure()})
         .select(*PAIR, "label", "pair_type", "exposure", *native_features())
     )
-
-
-def native_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_native_rows(spark, sf_dir), 9, *native_features())
+    return _rounded(rows, 9, *native_features())
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,9 +351,118 @@ def policy_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select(*PAIR, decision.alias("d")).select(*PAIR, "d.*")
 
 
+def _flat(matches: DataFrame) -> DataFrame:
+    """Matches with the four features of the evidence, strongest first, as text."""
+    names = F.array_join(F.transform("evidence", lambda item: item["feature"]), ",")
+    return matches.withColumn("evidence", names)
+
+
 def triage_fixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with their place in the ranking."""
+    place = Window.orderBy(F.desc("risk_score"), "left_invoice_id", "right_invoice_id")
     matches = triage(ledger(spark, sf_dir), FIXED_MODEL, PARAMS, PEPPER)
-    return matches.drop("action", "evidence")
+    # the order of the table itself is compared with the order of the rule
+    numbered = matches.withColumn("at", F.monotonically_increasing_id())
+    return _flat(
+        numbered.withColumn("place", F.row_number().over(Window.orderBy("at")).cast("bigint"))
+        .withColumn("ranked", (F.col("place") == F.row_number().over(place)))
+        .drop("at")
+    )
+
+
+def match_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches written as JSON and read back."""
+    path = scratch_path(spark, "sink")
+    matches = flagged_pairs(ledger(spark, sf_dir), FIXED_MODEL, PARAMS, PEPPER)
+    write_json(matches, path)
+    return _flat(spark.read.schema(matches.schema).json(path))
+
+
+def sample_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stratified sample written as CSV and read back."""
+    path = scratch_path(spark, "sample")
+    write_sample(S.stratified_sample(ledger(spark, sf_dir)), path)
+    return V.typed(read_csv(spark, path)).drop("group_id").withColumn(
+        "is_duplicate_record", F.col("is_duplicate_record").cast("boolean")
+    )
+
+
+def model_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed model with means and scales of the ledger's pairs, saved, verified and loaded."""
+    path = scratch_path(spark, "model")
+    mean, scale = LG.scaler(_features(spark, sf_dir))
+    save_model(spark, replace(FIXED_MODEL, mean=tuple(mean), scale=tuple(scale)), path)
+    return _rounded(parameter_rows(spark, load_model(spark, path)), 6, "mean", "scale")
+
+
+def score_csv_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch job: CSV files and a stored model in, JSON matches out."""
+    source, model, output = (scratch_path(spark, name) for name in ("csv", "model", "scored"))
+    ledger(spark, sf_dir).drop(*LABELS).write.option("header", True).option("emptyValue", "").csv(source)
+    save_model(spark, FIXED_MODEL, model)
+    score_csv(spark, source, model, output, PEPPER, PARAMS)
+    matches = flagged_pairs(ledger(spark, sf_dir), FIXED_MODEL, PARAMS, PEPPER)
+    return _flat(spark.read.schema(matches.schema).json(output))
+
+
+def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which invoice columns each table lacks, and which of its columns the contract does not know."""
+    tables = {"ledger": ledger(spark, sf_dir)} | {
+        name: read_table(spark, sf_dir, name) for name in ("orders", "documents", "events")
+    }
+    parts = [
+        df.limit(1).select(
+            F.lit(name).alias("source"),
+            F.lit(V.missing_columns(df, labels=True)).cast("array<string>").alias("missing"),
+            F.lit(V.unknown_columns(df)).cast("array<string>").alias("unknown"),
+        )
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, parts).select(
+        "source", F.array_join("missing", ",").alias("missing"), F.array_join("unknown", ",").alias("unknown")
+    )
+
+
+def logistic_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss, gradient and Hessian sums of the fixed model over all candidate pairs."""
+    parameters = np.array([*oracle.COEFFICIENT, oracle.INTERCEPT])
+    pairs = _features(spark, sf_dir)
+    parts = LG.objective_parts(pairs, parameters, oracle.MEAN, oracle.SCALE, oracle.CLASS_WEIGHTS)
+    return parts.groupBy("place").agg(F.round(F.sum("part"), 3).alias("total"))
+
+
+def trained_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient of the penalised loss at the fitted parameters: nothing is left of it."""
+    rows = materialize(S.temporal_split(ledger(spark, sf_dir)), "split")
+    train = materialize(pair_features(rows.filter("split = 'train'"), PARAMS), "features")
+    model = LG.fit(train)
+    weights = LG.class_weights(train)
+    parameters = np.array([*model.coefficient, model.intercept])
+    parts = LG.objective_parts(train, parameters, model.mean, model.scale, weights)
+    penalty = F.element_at(
+        F.array(*[F.lit(float(p)) for p in parameters]), F.col("place").cast("int")
+    )
+    return (
+        parts.where(F.col("place").between(1, len(parameters)))
+        .groupBy("place")
+        .agg(F.sum("part").alias("total"))
+        .select("place", F.abs(F.round(F.col("total") + penalty, 3)).alias("gradient"))
+    )
+
+
+def compare_runs_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs on one ledger, trained twice, written and compared; and a third with another ledger."""
+    folders = [scratch_path(spark, "run") for _ in range(3)]
+    for folder, recurring in zip(folders, (False, False, True), strict=True):
+        write_run(spark, train_and_evaluate(labelled_ledger(spark, sf_dir, recurring), PARAMS), folder)
+    same = compare_runs(spark, *folders[:2]).agg(F.count("*").alias("items")).withColumn("runs", F.lit("same"))
+    other = (
+        compare_runs(spark, folders[0], folders[2])
+        .where("item = 'evaluation'")
+        .agg(F.least(F.count("*"), F.lit(1)).cast("bigint").alias("items"))
+        .withColumn("runs", F.lit("other"))
+    )
+    return same.unionByName(other)
 
 
 def triage_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,33 +516,46 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(LG.class_weight_table(_features(spark, sf_dir)), 9, "weight")
 
 
-def _native_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score(_native_rows(spark, sf_dir), NATIVE_MODEL)
-    return scored.withColumn(
-        "prediction", (F.col("probability") >= NATIVE_MODEL.threshold).cast("int")
-    )
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidate pairs with the fixed model's prediction."""
+    at_threshold = (F.col("probability") >= FIXED_MODEL.threshold).cast("int")
+    return _scored(spark, sf_dir).withColumn("prediction", at_threshold)
 
 
 def threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = LG.threshold_table(_native_scored(spark, sf_dir))
+    table = LG.threshold_table(_judged(spark, sf_dir))
     return _rounded(table, 9, "precision", "recall", "f1")
 
 
 def threshold_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LG.select_threshold(_native_scored(spark, sf_dir), oracle.NO_FLOOR)
+    strict = replace(FIXED_MODEL, intercept=oracle.STRICT_INTERCEPT)
+    return LG.select_threshold(
+        score(_features(spark, sf_dir), strict), PARAMS.min_validation_precision
+    )
+
+
+def threshold_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many thresholds satisfy each floor; none means that selection fails."""
+    table = LG.threshold_table(_judged(spark, sf_dir))
+    floors = F.explode(F.array(*[F.lit(floor) for floor in oracle.FLOORS])).alias("floor")
+    return (
+        table.select(floors, "precision")
+        .groupBy("floor")
+        .agg(F.count_if(F.col("precision") >= F.col("floor")).alias("thresholds"))
+    )
 
 
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = X.confusion_matrix(_native_scored(spark, sf_dir))
+    table = X.confusion_matrix(_judged(spark, sf_dir))
     return _rounded(table, 9, "precision", "recall", "f1")
 
 
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(X.average_precision(_native_scored(spark, sf_dir)), 6, "average_precision")
+    return _rounded(X.average_precision(_judged(spark, sf_dir)), 6, "average_precision")
 
 
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(X.roc_auc(_native_scored(spark, sf_dir)), 6, "roc_auc")
+    return _rounded(X.roc_auc(_judged(spark, sf_dir)), 6, "roc_auc")
 
 
 def _evaluated(scored: DataFrame) -> DataFrame:
@@ -459,13 +581,13 @@ def evaluate_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def operational_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = X.operational_metrics(_native_scored(spark, sf_dir), PARAMS.false_positive_review_cost)
+    table = X.operational_metrics(_judged(spark, sf_dir), PARAMS.false_positive_review_cost)
     table = _rounded(table, 9, "review_rate", "duplicate_value_capture")
     return _rounded(table, 2, "expected_control_cost")
 
 
 def recall_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(X.recall_by_type(_native_scored(spark, sf_dir)), 9, "recall")
+    return _rounded(X.recall_by_type(_judged(spark, sf_dir)), 9, "recall")
 
 
 def train_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -519,7 +641,7 @@ def triage_stream_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     matches = triage_stream(arriving, FIXED_MODEL, PARAMS, PEPPER)
     query = write_matches(matches, output, scratch_path(spark, "stream"))
     query.awaitTermination()
-    return spark.read.schema(matches.schema).parquet(output).drop("action", "evidence")
+    return _flat(spark.read.schema(matches.schema).parquet(output))
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -583,6 +705,15 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_compare": run_compare,
     "unequal_rows": unequal_row_counts,
     "triage_stream": triage_stream_matches,
+    "threshold_floors": threshold_floors,
+    "match_sink": match_sink,
+    "sample_sink": sample_sink,
+    "model_store": model_store,
+    "score_csv": score_csv_job,
+    "required_columns": required_columns,
+    "logistic_sums": logistic_sums,
+    "trained_gradient": trained_gradient,
+    "compare_runs": compare_runs_job,
 }
 
 

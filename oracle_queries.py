@@ -15,14 +15,14 @@ MEAN = (0.53, 0.97, 1.0, 0.75, 0.68, 0.51, 0.44, 0.01, 0.34)
 SCALE = (0.5, 0.16, 1.0, 0.08, 0.1, 0.3, 0.25, 0.1, 0.21)
 COEFFICIENT = (0.42, 0.27, 0.0, -0.6, 2.4, 2.1, 1.06, 0.43, 2.97)
 INTERCEPT = -8.5
+STRICT_INTERCEPT = -12.5
 THRESHOLD = 0.9
 NATIVE_FEATURES = (
     "vendor_same", "bank_same", "amount_relative_similarity", "date_proximity", "po_same",
 )
-NATIVE_INTERCEPT = -2.0
-NATIVE_THRESHOLD = 0.6
+FLOORS = (0.05, 0.80, 1.01)
+CLASS_WEIGHTS = (0.75, 1.5)
 PEPPER = "demo-only-pepper"
-NO_FLOOR = 0.05
 
 
 def _terms(names):
@@ -50,9 +50,8 @@ base AS (
     'BANK-' || CASE WHEN ok % 40 = 0 THEN printf('%d', sk + 10000)
                     ELSE printf('%04d', sk - sk % 6 + sk % 3) END AS bank_fingerprint,
     p_name AS description
-  FROM (SELECT l_orderkey AS ok, (k // 10000000) % 1000 AS sk, k % 10000000 AS pk
-        FROM (SELECT l_orderkey,
-                min(l_linenumber::BIGINT * 10000000000 + l_suppkey * 10000000 + l_partkey) AS k
+  FROM (SELECT l_orderkey AS ok, k.s AS sk, k.p AS pk
+        FROM (SELECT l_orderkey, min({'n': l_linenumber, 's': l_suppkey, 'p': l_partkey}) AS k
               FROM lineitem GROUP BY 1))
   JOIN orders ON o_orderkey = ok JOIN part ON p_partkey = pk)"""
 
@@ -206,15 +205,6 @@ features AS (
 
 FEATURE_ROWS = PAIRS + SIMILARITY + _features()
 
-NATIVE_ROWS = (
-    PAIRS
-    + f""",
-native AS (SELECT *, {_NATIVE} FROM gapped WHERE gap <= 0.05),
-rated AS (SELECT *, 1.0 / (1.0 + exp(-({_margin(NATIVE_FEATURES, NATIVE_INTERCEPT)})))
-  AS probability FROM native),
-scored AS (SELECT *, (probability >= {NATIVE_THRESHOLD})::INT AS prediction FROM rated)"""
-)
-
 SCORED = (
     FEATURE_ROWS
     + f""",
@@ -222,6 +212,11 @@ scored AS (SELECT *, 1.0 / (1.0 + exp(-({_margin(FEATURES, INTERCEPT)}))) AS pro
   FROM features)"""
 )
 
+JUDGED = (
+    SCORED.replace("scored AS (SELECT *,", "rated AS (SELECT *,")
+    + f", scored AS (SELECT *, (probability >= {THRESHOLD})::INT AS prediction FROM rated)"
+)
+
 _EXACT = (
     "(left_vendor_account_id = right_vendor_account_id AND left_number_norm = right_number_norm "
     "AND 1.0 - gap >= 0.999999)"
@@ -346,7 +341,63 @@ _MATCH_COLUMNS = f"""{_PAIR_IDS},
   'ref_' || substr(sha256('{PEPPER}:' || left_vendor_account_id), 1, 12) AS vendor_ref,
   round_even(probability, 6) AS risk_score, {_policy(THRESHOLD)} AS state"""
 _FEATURE_LIST = ", ".join(f"round({f}, 9) AS {f}" for f in FEATURES)
-_MATCHES = _with(SCORED, f"SELECT {_MATCH_COLUMNS} FROM scored WHERE probability >= {THRESHOLD}")
+_MATCH_ROWS = SCORED + f""",
+matched AS (SELECT {_MATCH_COLUMNS} FROM scored WHERE probability >= {THRESHOLD}),
+explained AS ({_evidence("scored", FEATURES)}),
+matches AS (SELECT m.*, {_action("state")} AS action, evidence FROM matched m JOIN (
+    SELECT {_PAIR_IDS}, string_agg(feature, ',' ORDER BY rank) AS evidence FROM explained
+    GROUP BY 1, 2) USING ({_PAIR_IDS}))"""
+_MATCHES = _with(_MATCH_ROWS, "SELECT * FROM matches")
+_RANKED_MATCHES = _with(
+    _MATCH_ROWS,
+    f"SELECT *, row_number() OVER (ORDER BY risk_score DESC, {_PAIR_IDS}) AS place, true AS ranked "
+    "FROM matches",
+)
+
+
+def _logistic_sums() -> str:
+    """All sums of the weighted log loss at the fixed parameters, place by place."""
+    x = [f"(({n} - {m}::DOUBLE) / {s}::DOUBLE)" for n, m, s, _ in _terms(FEATURES)] + ["1.0::DOUBLE"]
+    size = len(x)
+    w = f"(CASE label WHEN 1 THEN {CLASS_WEIGHTS[1]}::DOUBLE ELSE {CLASS_WEIGHTS[0]}::DOUBLE END)"
+    p = "(1.0 / (1.0 + exp(-z)))"
+    sums = [f"sum({w} * (ln(1.0 + exp(-abs(z))) + greatest(z, 0.0) - label * z))"]
+    sums += [f"sum({w} * {a} * ({p} - label))" for a in x]
+    sums += [f"sum({w} * {a} * {b} * {p} * (1.0 - {p}))" for a in x for b in x]
+    assert len(sums) == 1 + size + size * size
+    columns = ", ".join(f"{value} AS s{k}" for k, value in enumerate(sums))
+    rows = " UNION ALL ".join(f"SELECT {k}::INT AS place, round(s{k}, 3) AS total FROM totals" for k in range(len(sums)))
+    return _with(
+        FEATURE_ROWS
+        + f", margins AS (SELECT *, {_margin(FEATURES, INTERCEPT)} AS z FROM features), "
+        + f"totals AS MATERIALIZED (SELECT {columns} FROM margins)",
+        rows,
+    )
+
+
+def _listed_columns() -> str:
+    """Columns by table, from the catalog of the views; the ledger's are those of the contract."""
+    wanted = ", ".join(f"('{c}')" for c in (*_INVOICE, "group_id"))
+    known = ", ".join(f"'{c}'" for c in _INVOICE)
+    return f"""WITH wanted(name) AS (VALUES {wanted}),
+have AS (
+  SELECT table_name AS source, column_name AS name FROM duckdb_columns()
+    WHERE table_name IN ('orders', 'documents', 'events')
+  UNION ALL SELECT 'ledger', name FROM wanted
+  UNION ALL SELECT 'ledger', unnest(['is_duplicate_record', 'duplicate_type'])),
+sources AS (SELECT DISTINCT source FROM have)
+SELECT source,
+  coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM wanted w
+    WHERE NOT EXISTS (FROM have h WHERE h.source = s.source AND h.name = w.name)), '') AS missing,
+  coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM have h
+    WHERE h.source = s.source AND name NOT IN ({known})), '') AS unknown
+FROM sources s"""
+
+
+_INVOICE = (
+    "invoice_id", "vendor_account_id", "invoice_number", "invoice_date", "amount", "currency",
+    "po_number", "bank_fingerprint", "description",
+)
 
 
 def _recall(pairs: str) -> str:
@@ -427,14 +478,14 @@ ORACLES: dict[str, str] = {
     ),
     "candidate_pairs": _with(FEATURE_ROWS, f"SELECT {_PAIR_IDS}, label FROM features"),
     "pair_lookup": _with(
-        PAIRS,
+        FEATURE_ROWS,
         f"SELECT {_PAIR_IDS}, left_vendor_account_id, right_vendor_account_id, left_amount, "
-        "right_amount FROM gapped WHERE gap <= 0.05",
+        "right_amount FROM features",
     ),
     "candidate_recall": _with(FEATURE_ROWS, _recall("features")),
     "amount_gap_recall": _with(PAIRS, _recall("(SELECT * FROM gapped WHERE gap <= 0.05)")),
     "native_pair_features": _with(
-        NATIVE_ROWS,
+        PAIRS + f", native AS (SELECT *, {_NATIVE} FROM gapped)",
         f"SELECT {_PAIR_IDS}, label, pair_type, exposure, "
         + ", ".join(f"round({f}, 9) AS {f}" for f in (*NATIVE_FEATURES, "currency_same"))
         + " FROM native",
@@ -514,27 +565,25 @@ WHERE position <= 60""",
         f"FROM (SELECT *, {_policy(THRESHOLD)} AS state FROM scored)",
     ),
     "threshold_table": _with(
-        NATIVE_ROWS + "," + GRID,
+        JUDGED + "," + GRID,
         "SELECT threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, "
         "round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 "
         "FROM table_",
     ),
     "threshold_select": _with(
-        NATIVE_ROWS + "," + GRID,
-        f"SELECT threshold FROM table_ WHERE precision >= {NO_FLOOR} "
+        JUDGED.replace(f"{INTERCEPT}::DOUBLE", f"{STRICT_INTERCEPT}::DOUBLE") + "," + GRID,
+        "SELECT threshold FROM table_ WHERE precision >= 0.80 "
         "ORDER BY f1 DESC, precision DESC, threshold DESC LIMIT 1",
     ),
     "confusion_matrix": _with(
-        NATIVE_ROWS, f"SELECT tn, fp, fn, tp, {_RATES} FROM ({_CONFUSION})"
+        JUDGED, f"SELECT tn, fp, fn, tp, {_RATES} FROM ({_CONFUSION})"
     ),
     "average_precision": _with(
-        NATIVE_ROWS + "," + _RANKED, "SELECT average_precision FROM ranked"
+        JUDGED + "," + _RANKED, "SELECT average_precision FROM ranked"
     ),
-    "roc_auc": _with(NATIVE_ROWS + "," + _RANKED, "SELECT roc_auc FROM ranked"),
+    "roc_auc": _with(JUDGED + "," + _RANKED, "SELECT roc_auc FROM ranked"),
     "evaluate_fixed_model": _with(
-        SCORED.replace("scored AS (SELECT *,", "rated AS (SELECT *,")
-        + f", scored AS (SELECT *, (probability >= {THRESHOLD})::INT AS prediction FROM rated),"
-        + _RANKED,
+        JUDGED + "," + _RANKED,
         f"SELECT average_precision, roc_auc, tn, fp, fn, tp, {_RATES} "
         f"FROM ranked, ({_CONFUSION})",
     ),
@@ -547,7 +596,7 @@ WHERE position <= 60""",
         f"FROM ranked, ({_CONFUSION})",
     ),
     "operational_metrics": _with(
-        NATIVE_ROWS,
+        JUDGED,
         """SELECT round(avg(prediction), 9) AS review_rate,
   round(coalesce(sum(exposure) FILTER (label = 1 AND prediction = 1), 0)
     / sum(exposure) FILTER (label = 1), 9) AS duplicate_value_capture,
@@ -556,7 +605,7 @@ WHERE position <= 60""",
 FROM scored""",
     ),
     "recall_by_type": _with(
-        NATIVE_ROWS,
+        JUDGED,
         "SELECT pair_type AS duplicate_type, round(avg(prediction), 9) AS recall, "
         "count(*) AS support FROM scored WHERE label = 1 GROUP BY 1",
     ),
@@ -581,6 +630,33 @@ FROM scored""",
   (SELECT 'candidate' AS side, * FROM (SELECT * FROM other EXCEPT ALL SELECT * FROM ledger)))
 GROUP BY 1""",
     ),
-    "triage_fixed_model": _MATCHES,
+    "triage_fixed_model": _RANKED_MATCHES,
     "triage_stream": _MATCHES,
+    "match_sink": _MATCHES,
+    "score_csv": _MATCHES,
+    "sample_sink": _with(
+        LEDGER,
+        """SELECT * EXCLUDE (group_id, is_multi, position) FROM (
+  SELECT *, row_number() OVER (PARTITION BY is_multi ORDER BY invoice_date, invoice_id) AS position
+  FROM (SELECT *, count(*) OVER (PARTITION BY group_id) > 1 AS is_multi FROM ledger))
+WHERE position <= 60""",
+    ),
+    "model_store": _with(
+        FEATURE_ROWS,
+        " UNION ALL ".join(
+            f"SELECT {k}::INT AS position, '{f}' AS feature, round(avg({f}), 6) AS mean, "
+            f"round(CASE WHEN min({f}) = max({f}) THEN 1 ELSE stddev_pop({f}) END, 6) AS scale, "
+            f"{c}::DOUBLE AS coefficient FROM features"
+            for k, (f, _, _, c) in enumerate(_terms(FEATURES))
+        ),
+    ),
+    "threshold_floors": _with(
+        JUDGED + "," + GRID,
+        "SELECT floor::DOUBLE AS floor, count(*) FILTER (precision >= floor) AS thresholds "
+        f"FROM table_ CROSS JOIN (VALUES {', '.join(f'({f}::DOUBLE)' for f in FLOORS)}) v(floor) GROUP BY 1",
+    ),
+    "logistic_sums": _logistic_sums(),
+    "trained_gradient": "SELECT place::INT AS place, 0.0::DOUBLE AS gradient FROM range(1, 11) t(place)",
+    "required_columns": _listed_columns(),
+    "compare_runs": "SELECT * FROM (VALUES (0::BIGINT, 'same'), (1::BIGINT, 'other')) v(items, runs)",
 }

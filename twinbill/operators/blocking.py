@@ -64,15 +64,29 @@ def _side(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
 
 
 def _oversize(cells: DataFrame, keys: list[str], cell_rows: int) -> DataFrame | None:
-    """Cells with more rows than a task should face, and the cuts they need."""
-    counted = cells.groupBy(*keys).agg(F.count("*").alias("members"))
-    large = counted.filter(F.col("members") > cell_rows).select(
-        *keys, F.ceil(F.col("members") / cell_rows).cast("int").alias("cuts")
+    """Cells with more rows than a task should face, and the cuts they need.
+
+    Whole blocks are counted first: there are few of them, so the counts
+    collapse on the map side. Only blocks above the bound can hold a large
+    cell, and only their rows are counted cell by cell.
+    """
+    block = [k for k in keys if k in ("block", "block_value", "currency")]
+    blocks = cells.groupBy(*block).agg(F.count("*").alias("members"))
+    crowded = materialize(blocks.filter(F.col("members") > cell_rows).select(*block), "blocks")
+    if crowded.isEmpty():
+        return None
+    counted = (
+        cells.join(crowded, block, "left_semi").groupBy(*keys).agg(F.count("*").alias("members"))
+    )
+    large = materialize(
+        counted.filter(F.col("members") > cell_rows).select(
+            *keys, F.ceil(F.col("members") / cell_rows).cast("int").alias("cuts")
+        ),
+        "cells",
     )
     found = large.limit(BROADCAST_CELLS + 1).count()
     if found == 0:
         return None
-    large = materialize(large, "cells")
     return F.broadcast(large) if found <= BROADCAST_CELLS else large
 
 

@@ -103,14 +103,12 @@ def exact_key_pairs(df: DataFrame, params: TriageParams = TriageParams()) -> Dat
     """Pairs with the exact signature, joined on it directly.
 
     A similarity of 1 means equal text, so the normalised number belongs into
-    the join key and no similarity is computed.
+    the join key and no similarity is computed. Equal numbers always pass the
+    amount-or-number rule, whatever its amount gap is.
     """
     pairs = band_pairs(
         prepare(df),
         max_days=params.max_date_gap_days,
-        max_gap=min(1 - M.EXACT_AMOUNT + 1e-9, params.max_amount_relative_gap)
-        if params.max_amount_relative_gap > 0
-        else None,
         blocks=("vendor",),
         within=("number_norm",),
         where=M.amount_similarity(*sides("amount")) >= M.EXACT_AMOUNT,

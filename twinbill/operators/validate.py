@@ -16,20 +16,32 @@ MAX_AMOUNT = 1_000_000_000
 CURRENCY_FORM = r"\A[A-Z]{3}\z"
 CONTROL_CHARACTER = r"[\x00-\x1f]"
 DECIMAL_FORM = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
+EXPONENT_FORM = r"[eE]"
+THIRD_DECIMAL = r"\.\d{2}\d*[1-9]"
+DATE_FORM = r"\A\d{4}-\d{2}-\d{2}\z"
+TIMESTAMP_FORM = r"\A\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?\z"
 
 _IDENTIFIERS = ("invoice_id", "vendor_account_id", "invoice_number", "bank_fingerprint")
 _NO_CONTROL = ("invoice_id", "vendor_account_id", "bank_fingerprint")
 
 
-def require_columns(df: DataFrame, labels: bool) -> None:
+def missing_columns(df: DataFrame, labels: bool) -> list[str]:
     wanted = set(INVOICE_COLUMNS) | ({"group_id"} if labels else set())
-    missing = sorted(wanted - set(df.columns))
+    return sorted(wanted - set(df.columns))
+
+
+def unknown_columns(df: DataFrame, allowed: tuple[str, ...] = INVOICE_COLUMNS) -> list[str]:
+    return sorted(set(df.columns) - set(allowed))
+
+
+def require_columns(df: DataFrame, labels: bool) -> None:
+    missing = missing_columns(df, labels)
     if missing:
         raise ValueError(f"missing required columns: {missing}")
 
 
 def forbid_unknown_columns(df: DataFrame, allowed: tuple[str, ...] = INVOICE_COLUMNS) -> None:
-    extra = sorted(set(df.columns) - set(allowed))
+    extra = unknown_columns(df, allowed)
     if extra:
         raise ValueError(f"unknown columns: {extra}")
 
@@ -39,34 +51,52 @@ def duplicate_ids(df: DataFrame) -> DataFrame:
     return df.groupBy("invoice_id").agg(F.count("*").alias("copies")).filter("copies > 1")
 
 
-def as_date(value: Column) -> Column:
-    """ISO date, or NULL where the text is none."""
-    return value.try_cast("date")
+def as_date(value: Column, form: str = TIMESTAMP_FORM) -> Column:
+    """ISO date, by default with an ISO time after it; NULL where the text is none."""
+    text = value.cast("string")
+    return F.when(text.rlike(form), F.left(text, F.lit(10)).try_cast("date"))
 
 
-def check_profile(df: DataFrame, labels: bool) -> DataFrame:
-    """One row with what the table-level rules need, without a shuffle of rows."""
+def _checks(labels: bool) -> dict[str, Column]:
     required = [*INVOICE_COLUMNS, *(["group_id"] if labels else [])]
     amount = F.col("amount").try_cast("double")
     any_null = F.lit(False)
     for name in required:
         any_null = any_null | F.col(name).isNull()
     not_a_number = F.col("amount").isNotNull() & (amount.isNull() | F.isnan(amount))
-    return df.agg(
-        F.count("*").alias("rows"),
-        F.count_if((amount <= 0) | not_a_number).alias("bad_amounts"),
-        F.count_if(any_null).alias("rows_with_null"),
-        F.count_if(as_date(F.col("invoice_date")).isNull()).alias("bad_dates"),
+    return {
+        "rows": F.count("*"),
+        "bad_amounts": F.count_if((amount <= 0) | not_a_number),
+        "rows_with_null": F.count_if(any_null),
+        "bad_dates": F.count_if(as_date(F.col("invoice_date")).isNull()),
+    }
+
+
+def check_profile(df: DataFrame, labels: bool) -> DataFrame:
+    """One row with what the table-level rules need, without a shuffle of rows."""
+    return df.agg(*[check.alias(name) for name, check in _checks(labels).items()])
+
+
+def check_ids_and_profile(df: DataFrame, labels: bool) -> DataFrame:
+    """The profile and the largest number of rows with one id, in one pass.
+
+    Every id sends one row of counts; the totals come from those.
+    """
+    checks = _checks(labels)
+    by_id = df.groupBy("invoice_id").agg(*[check.alias(name) for name, check in checks.items()])
+    return by_id.agg(
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in checks],
+        F.coalesce(F.max("rows"), F.lit(0)).alias("copies"),
     )
 
 
 def validate(df: DataFrame, labels: bool = False) -> None:
     """Raise on the first broken rule, in the documented order."""
     require_columns(df, labels)
-    seen = check_profile(df, labels).first()
+    seen = check_ids_and_profile(df, labels).first()
     if seen["rows"] == 0:
         raise ValueError("invoice data must not be empty")
-    if not duplicate_ids(df).isEmpty():
+    if seen["copies"] > 1:
         raise ValueError("invoice_id values must be unique")
     if seen["bad_amounts"] > 0:
         raise ValueError("amount values must be positive numbers")
@@ -106,14 +136,20 @@ def _codes() -> list[Column]:
     text = strip_whitespace(F.col("amount").cast("string"))
     exact = text.try_cast("decimal(38,18)")
     codes += [
-        when(as_date(F.col("invoice_date")).isNull(), "invoice_date_invalid"),
+        when(as_date(F.col("invoice_date"), DATE_FORM).isNull(), "invoice_date_invalid"),
         when(~text.rlike(DECIMAL_FORM), "amount_not_a_number"),
         # a number too long for the decimal type is NULL here
         F.when(exact <= 0, "amount_not_positive"),
         F.when(
             (exact > MAX_AMOUNT) | (exact.isNull() & text.rlike(DECIMAL_FORM)), "amount_too_large"
         ),
-        F.when(exact != F.round(exact, 2), "amount_decimals"),
+        # without an exponent the text itself tells, however many digits it has
+        F.when(
+            F.when(text.rlike(EXPONENT_FORM), exact != F.round(exact, 2)).otherwise(
+                text.rlike(DECIMAL_FORM) & text.rlike(THIRD_DECIMAL)
+            ),
+            "amount_decimals",
+        ),
         when(~F.col("currency").rlike(CURRENCY_FORM), "currency_form"),
         when(F.length("po_number") > PO_LENGTH, "po_number_length"),
         when(F.length("description") > DESCRIPTION_LENGTH, "description_length"),
@@ -158,18 +194,18 @@ def quality_profile(df: DataFrame) -> DataFrame:
     """Scalar profile of a labelled ledger, one row.
 
     Ids and groups are reduced to one row each before they are counted, so
-    only (id) and (group, size) travel.
+    only (id, partial sums) and (group, size) travel, in one pass each.
     """
     scalars = df.agg(
         F.count("*").alias("rows"),
+        F.count_distinct("invoice_id").alias("unique_invoice_ids"),
         null_cells(df).alias("null_cells"),
         F.count_if(F.col("amount") <= 0).alias("non_positive_amounts"),
         F.min("invoice_date").alias("date_min"),
         F.max("invoice_date").alias("date_max"),
     )
-    ids = df.agg(F.count_distinct("invoice_id").alias("unique_invoice_ids"))
     groups = group_sizes(df).agg(F.count_if(F.col("records") > 1).alias("duplicate_groups"))
-    parts = scalars.unionByName(ids, True).unionByName(groups, True)
+    parts = scalars.unionByName(groups, True)
     names = [
         "rows", "unique_invoice_ids", "null_cells", "non_positive_amounts",
         "date_min", "date_max", "duplicate_groups",

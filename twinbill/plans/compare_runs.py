@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinbill.operators.compare import differences, unequal_rows
 from twinbill.plans.training import EVALUATION_SCHEMA, QUALITY_SCHEMA
@@ -11,11 +12,57 @@ from twinbill.sources.files import read_csv
 from twinbill.sources.model_store import load_model, parameter_rows
 
 
+def _entries(name: str) -> Column:
+    """The entries of a map as metrics; no map has none."""
+    prefix = F.lit(f"{name}.")
+    entries = F.transform(
+        F.map_entries(name),
+        lambda e: F.struct(
+            F.concat(prefix, e["key"]).alias("metric"),
+            F.lit(None).cast("string").alias("text"),
+            e["value"].cast("double").alias("number"),
+        ),
+    )
+    return F.coalesce(entries, F.array().cast("array<struct<metric:string,text:string,number:double>>"))
+
+
+def tall(report: DataFrame) -> DataFrame:
+    """A report of one row as (metric, text, number), one row per scalar.
+
+    Entries of structs and maps are metrics of their own; numbers stay numbers,
+    so that two runs may differ by the order in which floats were added up.
+    """
+    cells = []
+
+    def add(name: Column, value: Column, kind: T.DataType) -> None:
+        number = isinstance(kind, T.NumericType)
+        cells.append(
+            F.array(
+                F.struct(
+                    name.alias("metric"),
+                    F.lit(None).cast("string").alias("text") if number else value.cast("string").alias("text"),
+                    (value.cast("double") if number else F.lit(None).cast("double")).alias("number"),
+                )
+            )
+        )
+
+    for field in report.schema:
+        kind, own = field.dataType, F.col(field.name)
+        if isinstance(kind, T.StructType):
+            for part in kind:
+                add(F.lit(f"{field.name}.{part.name}"), own[part.name], part.dataType)
+        elif isinstance(kind, T.MapType):
+            cells.append(_entries(field.name))
+        else:
+            add(F.lit(field.name), own, kind)
+    return report.select(F.inline(F.concat(*cells)))
+
+
 def compare_runs(spark: SparkSession, reference: str, candidate: str) -> DataFrame:
     """(item, detail) of every difference; empty when the runs agree.
 
-    Both models are verified first. Parameters agree within tolerance, names,
-    threshold, evaluation, quality report and sample exactly.
+    Both models are verified first. Parameters and numbers of the reports agree
+    within tolerance, names, threshold, texts and sample exactly.
     """
     models = [load_model(spark, f"{run}/model") for run in (reference, candidate)]
 
@@ -32,8 +79,7 @@ def compare_runs(spark: SparkSession, reference: str, candidate: str) -> DataFra
         )
 
     def report(run: str, name: str, schema: str) -> DataFrame:
-        table = spark.read.schema(schema).json(f"{run}/{name}").drop("artifact_sha256")
-        return table.select(F.to_json(F.struct("*")).alias("report"))
+        return tall(spark.read.schema(schema).json(f"{run}/{name}").drop("artifact_sha256"))
 
     def detail(item: str, found: DataFrame) -> DataFrame:
         return found.select(F.lit(item).alias("item"), F.to_json(F.struct("*")).alias("detail"))
@@ -46,11 +92,11 @@ def compare_runs(spark: SparkSession, reference: str, candidate: str) -> DataFra
         detail("manifest", unequal_rows(*map(manifest, models))),
         detail(
             "evaluation",
-            unequal_rows(*pair(lambda run: report(run, "evaluation", EVALUATION_SCHEMA))),
+            differences(*pair(lambda run: report(run, "evaluation", EVALUATION_SCHEMA)), ["metric"]),
         ),
         detail(
             "data_quality",
-            unequal_rows(*pair(lambda run: report(run, "data_quality", QUALITY_SCHEMA))),
+            differences(*pair(lambda run: report(run, "data_quality", QUALITY_SCHEMA)), ["metric"]),
         ),
         detail("sample", unequal_rows(*pair(lambda run: read_csv(spark, f"{run}/sample")))),
     ]

@@ -31,18 +31,4 @@ FEATURE_NAMES = (
     "description_similarity",
 )
 
-# Files are read as text first so that a bad amount or date can be reported
-# instead of silently becoming NULL; the typed form follows validation.
-RAW_INVOICE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in INVOICE_COLUMNS])
-RAW_BATCH_SCHEMA = T.StructType([T.StructField("invoices", T.ArrayType(RAW_INVOICE_SCHEMA))])
 STRICT_AMOUNT = T.DecimalType(12, 2)
-
-EVIDENCE_TYPE = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("feature", T.StringType()),
-            T.StructField("value", T.DoubleType()),
-            T.StructField("contribution", T.DoubleType()),
-        ]
-    )
-)

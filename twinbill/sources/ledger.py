@@ -32,21 +32,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_suppliers(lineitem: DataFrame) -> DataFrame:
-    """Supplier and part of the first line of each order.
-
-    The smallest (line, supplier, part) wins. Packed into one long so that
-    the minimum aggregates in a hash table on the map side.
-    """
-    packed = (
-        F.shiftleft(F.col("l_linenumber").cast("bigint"), 58)
-        + F.shiftleft(F.col("l_suppkey"), 31)
-        + F.col("l_partkey")
-    )
-    first = lineitem.groupBy("l_orderkey").agg(F.min(packed).alias("k"))
+    """Supplier and part of the first line of each order: the smallest (line, supplier, part)."""
+    line = F.struct("l_linenumber", "l_suppkey", "l_partkey")
+    first = lineitem.groupBy("l_orderkey").agg(F.min(line).alias("line"))
     return first.select(
         F.col("l_orderkey").alias("o_orderkey"),
-        F.shiftright("k", 31).bitwiseAND(F.lit((1 << 27) - 1)).alias("sk"),
-        F.col("k").bitwiseAND(F.lit((1 << 31) - 1)).alias("p_partkey"),
+        F.col("line.l_suppkey").alias("sk"),
+        F.col("line.l_partkey").alias("p_partkey"),
     )
 
 
