@@ -451,10 +451,11 @@ def trained_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_runs_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs on one ledger, trained twice, written and compared; and a third with another ledger."""
+    """A run written twice and compared with itself, and with a run on another ledger."""
     folders = [scratch_path(spark, "run") for _ in range(3)]
-    for folder, recurring in zip(folders, (False, False, True), strict=True):
-        write_run(spark, train_and_evaluate(labelled_ledger(spark, sf_dir, recurring), PARAMS), folder)
+    runs = [train_and_evaluate(labelled_ledger(spark, sf_dir, again), PARAMS) for again in (False, True)]
+    for folder, run in zip(folders, (runs[0], runs[0], runs[1]), strict=True):
+        write_run(spark, run, folder)
     same = compare_runs(spark, *folders[:2]).agg(F.count("*").alias("items")).withColumn("runs", F.lit("same"))
     other = (
         compare_runs(spark, folders[0], folders[2])
