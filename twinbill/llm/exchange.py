@@ -28,7 +28,7 @@ from .scratch import materialize
 from .text import U, column_bytes, steps
 
 #: Bytes of text in a block (a longer text is a block of its own).
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Keys that one shard gets, about, from all blocks together.
 SHARD_KEYS = 2_000_000
 
