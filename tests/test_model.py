@@ -224,3 +224,33 @@ def test_probability_is_the_logistic_of_the_margin(spark, small):
     assert row["probability"] == pytest.approx(1 / (1 + math.exp(-margin)), rel=1e-12)
 
 
+
+
+def test_unconverged_fit_is_an_error(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from twinbill.operators import logistic
+    from twinbill.schema import FEATURE_NAMES
+
+    rows = spark.range(200).select(
+        *[(F.rand(k) + F.col("id") % 2).alias(name) for k, name in enumerate(FEATURE_NAMES)],
+        (F.col("id") % 2).cast("int").alias("label"),
+    )
+    logistic.fit(rows)
+    monkeypatch.setattr(logistic, "MAX_STEPS", 1)
+    with pytest.raises(ArithmeticError, match="settle"):
+        logistic.fit(rows)
+
+
+def test_edited_manifest_flag_is_noticed(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from twinbill.sources.model_store import load_model, save_model
+
+    save_model(spark, MODEL, str(tmp_path / "m"))
+    manifest = spark.read.parquet(str(tmp_path / "m" / "manifest"))
+    changed = manifest.withColumn("synthetic_training_data", ~F.col("synthetic_training_data"))
+    rows = changed.collect()
+    spark.createDataFrame(rows, manifest.schema).write.mode("overwrite").parquet(str(tmp_path / "m" / "manifest"))
+    with pytest.raises(ValueError, match="integrity"):
+        load_model(spark, str(tmp_path / "m"))

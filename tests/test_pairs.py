@@ -182,3 +182,27 @@ def test_lookup_attaches_both_sides(small):
     rows = {(r["left_invoice_id"], r["right_invoice_id"]): r for r in found.collect()}
     assert rows["A", "C"]["left_po_number"] == "PO-1"
     assert rows["A", "C"]["right_po_number"] == "PO-2"
+
+
+def test_large_keys_stay_apart(spark):
+    """Suppliers and parts beyond 31 bits keep their numbers; the smallest line wins."""
+    from twinbill.sources.ledger import order_suppliers
+
+    lines = spark.createDataFrame(
+        [(1, 2, 5, 5), (1, 1, 200_000_001, 3_000_000_000), (2, 7, 1 << 40, (1 << 50) + 1)],
+        "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long",
+    )
+    got = {r["o_orderkey"]: (r["sk"], r["p_partkey"]) for r in order_suppliers(lines).collect()}
+    assert got == {1: (200_000_001, 3_000_000_000), 2: (1 << 40, (1 << 50) + 1)}
+
+
+def test_exact_keys_do_not_depend_on_the_amount_gap(spark):
+    from tests.conftest import INVOICE, invoice
+    from twinbill.operators.features import exact_key_pairs
+    from twinbill.params import TriageParams
+
+    df = spark.createDataFrame(
+        [invoice("A", "G1", amount=1_000_000.0), invoice("B", "G1", amount=1_000_000.5)], INVOICE
+    )
+    for gap in (0.0, 1e-7, 0.05):
+        assert exact_key_pairs(df, TriageParams(max_amount_relative_gap=gap)).count() == 1

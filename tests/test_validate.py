@@ -20,6 +20,13 @@ def test_parameters_are_range_checked():
         TriageParams(max_date_gap_days=0)
     with pytest.raises(ValueError, match="min_validation_precision"):
         TriageParams(min_validation_precision=1.5)
+    for wrong in (
+        {"max_amount_relative_gap": -1.0},
+        {"min_invoice_similarity": 7.0},
+        {"false_positive_review_cost": -5.0},
+    ):
+        with pytest.raises(ValueError, match=next(iter(wrong))):
+            TriageParams(**wrong)
 
 
 def test_valid_table_passes(small):
@@ -76,6 +83,15 @@ CASES = [
     ({"po_number": None}, []),
     ({"description": "d" * 501}, ["description_length"]),
     ({"invoice_date": "2026-13-01"}, ["invoice_date_invalid"]),
+    ({"invoice_date": "2024-01-01 junk"}, ["invoice_date_invalid"]),
+    ({"invoice_date": "2024-01-01Tjunk"}, ["invoice_date_invalid"]),
+    ({"invoice_date": "2024-01-01T00:00:00"}, ["invoice_date_invalid"]),
+    ({"invoice_date": "2024"}, ["invoice_date_invalid"]),
+    ({"invoice_date": "2024-1"}, ["invoice_date_invalid"]),
+    ({"amount": "1.0000000000000000001"}, ["amount_decimals"]),
+    ({"amount": "1.0000000000000000000"}, []),
+    ({"amount": "1.001e3"}, []),
+    ({"amount": "1.0001e1"}, ["amount_decimals"]),
     ({"currency": None, "amount": "-2"}, ["amount_not_positive", "currency_form"]),
 ]
 
@@ -104,6 +120,24 @@ def test_csv_keeps_empty_fields_and_adds_groups(spark, tmp_path):
     assert typed["amount"] == 10.5 and typed["invoice_date"] == date(2026, 1, 1)
 
 
+def test_csv_files_with_other_headers_are_refused(spark, tmp_path):
+    line = 'A,V,INV-1,2026-01-01,10.50,TRY,,B,text'
+    swapped = ["vendor_account_id", "invoice_id", *INVOICE_COLUMNS[2:]]
+    (tmp_path / "a.csv").write_text(",".join(INVOICE_COLUMNS) + f"\n{line}\n")
+    (tmp_path / "b.csv").write_text(",".join(INVOICE_COLUMNS) + f"\n{line}\n")
+    assert read_csv(spark, str(tmp_path)).count() == 2
+    (tmp_path / "b.csv").write_text(",".join(swapped) + f"\n{line}\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(tmp_path)).select("invoice_id", "vendor_account_id").collect()
+
+
+def test_table_dates_may_carry_a_time(spark):
+    values = ["2024-01-01", "2024-01-01 10:00:00", "2024-01-01T10:00:00Z", "2024-01-01 junk", "2024", "2024-1", None]
+    df = spark.createDataFrame([(v,) for v in values], "d string")
+    got = [r[0] for r in df.select(V.as_date(F.col("d"))).collect()]
+    assert got == [date(2024, 1, 1)] * 3 + [None] * 4
+
+
 def test_json_batches(spark, tmp_path):
     base = dict(zip(INVOICE_COLUMNS, ("A", "V", "N", "2026-01-01", "10.00", "TRY", "", "B", "d")))
     other = {**base, "invoice_id": "B", "surprise": 1}
