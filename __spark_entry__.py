@@ -39,6 +39,7 @@ from twinbill.operators.features import (  # noqa: E402
 from twinbill.operators.scoring import Model, decide, evidence, score  # noqa: E402
 from twinbill.params import TriageParams  # noqa: E402
 from twinbill.plans.compare_runs import compare_runs  # noqa: E402
+from twinbill.plans.requests import triage_requests  # noqa: E402
 from twinbill.plans.score_csv import score_csv  # noqa: E402
 from twinbill.plans.training import train_and_evaluate, write_run  # noqa: E402
 from twinbill.plans.triage import flagged_pairs, triage  # noqa: E402
@@ -116,7 +117,30 @@ def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "json")
     invoice = F.struct(*[c for c in ledger(spark, sf_dir).columns if c not in ("group_id", *LABELS)])
     ledger(spark, sf_dir).select(F.array(invoice).alias("invoices")).write.json(path)
-    return V.typed(read_json_batches(spark, path, multiline=False).drop("unknown_fields"))
+    return V.typed(read_json_batches(spark, path, multiline=False).drop("unknown_fields", "batch_id"))
+
+
+def _requests(spark: SparkSession, sf_dir: str):
+    """One document for the invoices of each vendor and quarter, triaged by document."""
+    path = scratch_path(spark, "requests")
+    rows = ledger(spark, sf_dir).drop("group_id", *LABELS)
+    amount = F.format_string("%.2f", "amount").alias("amount")
+    invoice = F.struct(*[amount if c == "amount" else c for c in rows.columns])
+    quarter = F.date_trunc("quarter", "invoice_date")
+    rows.groupBy("vendor_account_id", quarter.alias("quarter")).agg(
+        F.collect_list(invoice).alias("invoices")
+    ).select("invoices").write.json(path)
+    return triage_requests(read_json_batches(spark, path, multiline=False), FIXED_MODEL, PARAMS, PEPPER)
+
+
+def request_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_requests(spark, sf_dir).matches).drop("batch_id")
+
+
+def request_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents have so many invoices, reviewed and flagged pairs."""
+    names = ["invoices", "reviewed_pairs", "flagged_pairs"]
+    return _requests(spark, sf_dir).summary.groupBy(*names).agg(F.count("*").alias("documents"))
 
 
 # --- validation -------------------------------------------------------------
@@ -630,16 +654,22 @@ def unequal_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def triage_stream_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders arrive as a stream; matches are appended to a table."""
-    schema = read_table(spark, sf_dir, "orders").schema
-    # a pattern, since a stream of one plain file is refused
-    orders = spark.readStream.schema(schema).parquet(f"{sf_dir}/{{orders}}.parquet")
+    table = read_table(spark, sf_dir, "orders")
+    day = F.col("o_orderdate").cast("date")
+    folder = scratch_path(spark, "arrivals")
+    # one file after the other, in the order of dates; each is a batch of its own
+    for low, high in (("0001", "1995"), ("1995", "1997"), ("1997", "9999")):
+        part = table.where((day >= f"{low}-01-01") & (day < f"{high}-01-01"))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    orders = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     arriving = inject(
         base_ledger(
             orders, read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part")
         )
     )
     output = scratch_path(spark, "matches")
-    matches = triage_stream(arriving, FIXED_MODEL, PARAMS, PEPPER)
+    # copies are dated up to three weeks after the order they arrive with
+    matches = triage_stream(arriving, FIXED_MODEL, PARAMS, PEPPER, lateness="30 days", cuts=2)
     query = write_matches(matches, output, scratch_path(spark, "stream"))
     query.awaitTermination()
     return _flat(spark.read.schema(matches.schema).parquet(output))
@@ -707,6 +737,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unequal_rows": unequal_row_counts,
     "triage_stream": triage_stream_matches,
     "threshold_floors": threshold_floors,
+    "request_matches": request_matches,
+    "request_summary": request_summary,
     "match_sink": match_sink,
     "sample_sink": sample_sink,
     "model_store": model_store,

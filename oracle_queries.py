@@ -394,6 +394,17 @@ SELECT source,
 FROM sources s"""
 
 
+_REQUESTS = (
+    PREPARED
+    + ", parted AS (SELECT *, date_trunc('quarter', invoice_date) AS quarter, vendor_account_id AS document "
+    "FROM prepared)"
+    + _blocked("parted", ("quarter", "document"))
+    + SIMILARITY
+    + _features()
+    + f""",
+scored AS (SELECT *, 1.0 / (1.0 + exp(-({_margin(FEATURES, INTERCEPT)}))) AS probability FROM features)"""
+)
+
 _INVOICE = (
     "invoice_id", "vendor_account_id", "invoice_number", "invoice_date", "amount", "currency",
     "po_number", "bank_fingerprint", "description",
@@ -633,6 +644,16 @@ GROUP BY 1""",
     "triage_fixed_model": _RANKED_MATCHES,
     "triage_stream": _MATCHES,
     "match_sink": _MATCHES,
+    "request_matches": _with(_MATCH_ROWS.replace(SCORED, _REQUESTS), "SELECT * FROM matches"),
+    "request_summary": _with(
+        _REQUESTS
+        + f""",
+sized AS (SELECT document, quarter, count(*) AS invoices FROM parted GROUP BY 1, 2),
+counted AS (SELECT document, quarter, count(*) AS reviewed,
+  count(*) FILTER (probability >= {THRESHOLD}) AS flagged FROM scored GROUP BY 1, 2)""",
+        "SELECT invoices, coalesce(reviewed, 0) AS reviewed_pairs, coalesce(flagged, 0) AS flagged_pairs, "
+        "count(*) AS documents FROM sized LEFT JOIN counted USING (document, quarter) GROUP BY 1, 2, 3",
+    ),
     "score_csv": _MATCHES,
     "sample_sink": _with(
         LEDGER,
