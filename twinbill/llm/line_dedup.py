@@ -144,7 +144,7 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def overlaps(lines: DataFrame, rule: LineDedup) -> DataFrame:
     """``(digest, owner)`` of distinct texts: pairs of a later text and an earlier one it overlaps."""
-    total = F.broadcast(lines.agg(F.count("*").alias("texts")))
+    few = max(2, int(lines.count() * rule.rare_share))
     seen = lines.select(
         "digest",
         "doc_id",
@@ -156,11 +156,7 @@ def overlaps(lines: DataFrame, rule: LineDedup) -> DataFrame:
         .agg(F.min(F.struct("doc_id", "digest")).alias("owner"), F.count("*").alias("texts_with"))
         .where("texts_with > 1")
     )
-    owner = owner.crossJoin(total).select(
-        "line",
-        "owner",
-        ((F.col("texts_with") <= 2) | (F.col("texts_with") <= F.col("texts") * rule.rare_share)).alias("rare"),
-    )
+    owner = owner.select("line", "owner", (F.col("texts_with") <= few).alias("rare"))
     return (
         seen.withColumn("words", F.col("line.words"))
         .withColumn("line", F.col("line.lines"))

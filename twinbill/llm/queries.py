@@ -52,9 +52,14 @@ def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """removed_bytes is above 0 for documents that repeat a passage of an earlier one."""
+    """has_repeats: the document repeats a passage of an earlier one."""
     return substring_dedup(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_chunks", "repeated_chunks", "removed_bytes", F.sha2("text", 256).alias("text_sha256")
+        "doc_id",
+        (F.col("removed_bytes") > 0).alias("has_repeats"),
+        "n_chunks",
+        "repeated_chunks",
+        "removed_bytes",
+        F.sha2("text", 256).alias("text_sha256"),
     )
 
 
