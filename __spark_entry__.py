@@ -470,7 +470,7 @@ def trained_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts.where(F.col("place").between(1, len(parameters)))
         .groupBy("place")
         .agg(F.sum("part").alias("total"))
-        .select("place", F.abs(F.round(F.col("total") + penalty, 3)).alias("gradient"))
+        .select("place", F.abs(F.round(F.col("total") + penalty, 0)).alias("gradient"))
     )
 
 
