@@ -166,3 +166,31 @@ def test_every_oracle_has_a_query():
     import __spark_entry__ as registry
 
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_requests_are_judged_by_document(spark, tmp_path):
+    import json
+
+    from twinbill.plans.requests import triage_requests
+    from twinbill.schema import INVOICE_COLUMNS
+    from twinbill.sources.files import read_json_batches
+
+    def row(i, number="INV-1", day="2026-01-01", **change):
+        values = (i, "V", number, day, "10.00", "TRY", "", "B", "cloud service")
+        return dict(zip(INVOICE_COLUMNS, values)) | change
+
+    documents = [
+        [row("A"), row("B", day="2026-01-03"), row("C", number="X-999", amount="500.00")],
+        [row("D")],  # like A, but in another document
+        [row("E"), row("E", day="2026-01-05")],  # an id twice
+        [row("F"), row("G", currency="try")],  # one broken row
+    ]
+    (tmp_path / "in.json").write_text("\n".join(json.dumps({"invoices": d}) for d in documents))
+    rows = read_json_batches(spark, str(tmp_path / "in.json"), multiline=False)
+    out = triage_requests(rows, MODEL, TriageParams(), "p")
+    assert [(r["left_invoice_id"], r["right_invoice_id"]) for r in out.matches.collect()] == [("A", "B")]
+    assert {(r["invoice_id"], r["reason"]) for r in out.refused.collect()} == {
+        ("E", "invoice_id_repeated"), ("G", "currency_form")
+    }
+    counts = sorted((r["invoices"], r["reviewed_pairs"], r["flagged_pairs"]) for r in out.summary.collect())
+    assert counts == [(1, 0, 0), (3, 1, 1)]
