@@ -30,6 +30,10 @@ from .text import column_bytes, row_of, steps
 
 #: Longer pre-tokens are encoded one by one, shorter ones all together.
 SHORT = 64
+#: Short pre-tokens that are encoded in one step.
+TOGETHER = 1 << 15
+#: Ids that are decoded in one step, about.
+IDS = 1_000_000
 #: Pairs in the compatibility table of a worker (it starts anew when full).
 PAIRS = 2_000_000
 _NEVER = 1 << 40
@@ -255,18 +259,25 @@ class Vocabulary:
             like = np.flatnonzero(ends - starts == len(content))
             letters = raw[starts[like, None] + np.arange(len(content))]
             short[like[(letters == np.frombuffer(content, np.uint8)).all(axis=1)]] = False
-        flat, some = self.encode_short(raw, starts[short], ends[short])
-        parts, count = [flat], np.zeros(len(starts), np.int64)
+        parts, count = [], np.zeros(len(starts), np.int64)
         first = np.zeros(len(starts), np.int64)
-        count[short], first[short] = some, np.cumsum(some) - some
-        total = len(flat)
+        total = 0
+        # Words of like length together keep the tables of a step narrow.
+        by_size = np.flatnonzero(short)
+        by_size = by_size[np.argsort((ends - starts)[by_size], kind="stable")]
+        for low in range(0, len(by_size), TOGETHER):
+            own = by_size[low : low + TOGETHER]
+            flat, some = self.encode_short(raw, starts[own], ends[own])
+            parts.append(flat.astype(np.int32))
+            count[own], first[own] = some, total + np.cumsum(some) - some
+            total += len(flat)
         for k in np.flatnonzero(~short).tolist():
             word = raw[starts[k] : ends[k]].tobytes()
             ids = [self.special[word]] if word in self.special else self.encode_long(word)
-            parts.append(np.array(ids))
+            parts.append(np.array(ids, np.int32))
             first[k], count[k] = total, len(ids)
             total += len(ids)
-        return np.concatenate(parts).astype(np.int32), first, count
+        return np.concatenate(parts) if parts else np.empty(0, np.int32), first, count
 
 
 @lru_cache(maxsize=2)
@@ -328,8 +339,11 @@ def _decode(path: str, passed: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
+            sizes = np.asarray(whole.column("ids").value_lengths().fill_null(0)).astype(np.int64)
+            group = (np.cumsum(sizes) - sizes) // IDS
+            edges = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), whole.num_rows]
+            for start, stop in zip(edges, edges[1:], strict=False):
+                batch = whole.slice(start, stop - start)
                 column = batch.column("ids")
                 ids = np.asarray(column.flatten())
                 rows = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
