@@ -141,5 +141,35 @@ FROM fits GROUP BY page_id, host, path, listed
 """
 
 
+NEAR_DUP_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE len(words) WHEN 0 THEN [] WHEN 1 THEN words
+    ELSE list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) END AS shingles
+  FROM split
+), sizes AS (
+  SELECT doc_id, len(shingles) AS n FROM sets
+), items AS (
+  SELECT doc_id, unnest(shingles) AS item FROM sets
+), links AS (
+  SELECT x, y FROM (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+    FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id GROUP BY ALL)
+  JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+  WHERE 100 * shared >= 80 * (s.n + t.n - shared)
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM sizes
+  UNION
+  SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.other
+)
+SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id, min(other) = doc_id AS kept
+FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": URL_FILTER_SQL}
+    return {"op5_minhash_near_dup": NEAR_DUP_SQL, "op7_url_filter": URL_FILTER_SQL}
