@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinbill.llm.benchmark import decontaminate
-from twinbill.llm.bpe import decode, encode
+from twinbill.llm.bpe import round_trip
 from twinbill.llm.line_dedup import line_dedup
 from twinbill.llm.near_dup import NearDup, keep_first
 from twinbill.llm.queries import byte_bpe, table
@@ -49,8 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the digest of the text they decode to."""
-    path = byte_bpe()
-    return decode(encode(docs, path), path).select(
+    return round_trip(docs, byte_bpe()).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256")
     )
 

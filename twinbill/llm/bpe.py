@@ -16,6 +16,8 @@ the pair-compatibility table.
 from __future__ import annotations
 
 import json
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -75,8 +77,7 @@ class Vocabulary:
                 halves[whole] = (names[left], names[right])
                 self.rank[whole] = rank
             self.merge[names[left], names[right]] = whole
-        self.right_edge = [self._edge(i, halves, 1) for i in range(size)]
-        self.left_edge = [self._edge(i, halves, 0) for i in range(size)]
+        self.halves = halves
         self._forget()
 
         usable = set()
@@ -125,21 +126,22 @@ class Vocabulary:
                 best[state] = best[fail[state]]
         self.state_best, self.state_fail = np.array(best), np.array(fail)
         self.child_keys = np.array(sorted(child), np.int64)
+        self.child_list = array("q", self.child_keys.tobytes())
         self.child_states = np.array([child[k] for k in self.child_keys.tolist()])
-        self.child = child
 
-    def _edge(self, token: int, halves: dict, side: int) -> list[tuple[int, int]]:
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Edge parts of a token, each with the rank of the merge that uses it up."""
-        out, used = [(token, _NEVER)], _NEVER
-        while token in halves:
-            used, token = self.rank[token], halves[token][side]
+        out = [(token, _NEVER)]
+        while token in self.halves:
+            used, token = self.rank[token], self.halves[token][side]
             out.append((token, used))
         return out
 
     def _neighbours(self, left: int, right: int, before: int = _NEVER) -> bool:
         """Whether no merge across the border comes first (and earlier than ``before``)."""
-        for a, a_used in self.right_edge[left]:
-            for b, b_used in self.left_edge[right]:
+        border = self._edge(right, 0)
+        for a, a_used in self._edge(left, 1):
+            for b, b_used in border:
                 whole = self.merge.get((a, b))
                 if whole is not None:
                     rank = self.rank[whole]
@@ -221,13 +223,21 @@ class Vocabulary:
             live = live[at[live] < size[live]]
         return out[np.arange(width) < depth[:, None]], depth
 
+    def _child(self, state: int, byte: int) -> int:
+        at = bisect_left(self.child_list, state << 8 | byte)
+        if at < len(self.child_list) and self.child_list[at] == state << 8 | byte:
+            return int(self.child_states[at])
+        return -1
+
     def encode_long(self, word: bytes) -> list[int]:
         """The same for one word of any length."""
         n, state, longest = len(word), 0, [-1] * (len(word) + 1)
         for i in range(n - 1, -1, -1):
-            while state and state << 8 | word[i] not in self.child:
+            found = self._child(state, word[i])
+            while state and found < 0:
                 state = int(self.state_fail[state])
-            state = self.child.get(state << 8 | word[i], 0)
+                found = self._child(state, word[i])
+            state = max(found, 0)
             longest[i] = int(self.state_best[state])
         out: list[int] = []
         open_end = bytearray(b"\1") * (n + 1)
@@ -374,10 +384,19 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.mapInArrow(_decode(path, tokens.columns), f"{fields}, text string")
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, and the text decoded from those ids: ``decode`` of ``encode`` in one pass of one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decode(path, ["doc_id", "ids"])(_encode(path)(batches))
+
+    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids and of the text decoded from them."""
     decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decode(encode(docs, path), path).select(
+    return round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(decimal, 256).alias("ids_sha256"),

@@ -11,7 +11,3 @@ from ..session import materialize, scratch_path  # noqa: F401
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever else the table holds."""
     return df.select(*[F.col(f"`{name}`") for name in names])
-
-
-def single(df: DataFrame, key: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull())

@@ -23,7 +23,7 @@ IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=U)
 
 #: Bytes of text that one step inside a task holds (a longer text is one step).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
