@@ -1,6 +1,8 @@
 import random
 
-from twinbill.llm.line_dedup import LineDedup, line_dedup, patience
+import numpy as np
+
+from twinbill.llm.line_dedup import LineDedup, line_dedup, patience, runs
 
 
 def _longest_common(a, b):
@@ -68,6 +70,48 @@ def test_a_third_of_the_corpus_shares_a_passage(spark):
     assert all(out[2000 + k].text == "" for k in range(30))
 
 
+def test_a_hot_passage_in_long_documents(spark):
+    shared = [_line(k) for k in range(3)]
+    own = {k: [_line(1000 * k + 500 + j) for j in range(12)] for k in range(100)}
+    rows = [(k, "\n".join([*own[k][:6], *shared, *own[k][6:]])) for k in range(100)]
+    rows += [(1000 + k, _line(900_000 + k)) for k in range(700)]
+    out = _run(spark, rows)
+    assert out[0].removed_lines == 0
+    assert all(out[k].text == "\n".join(own[k]) for k in range(1, 100))
+    assert all(out[1000 + k].removed_lines == 0 for k in range(700))
+
+
+def test_a_hot_passage_of_short_lines(spark):
+    """Each line has an earlier owner of its own, and blank lines lie between them."""
+    shared = ["one two three four five", "", "six seven", "eight nine ten"]
+    rows = [(k, f"{line}\n{_line(k)}") for k, line in enumerate(shared)]
+    rows += [(10 + k, "\n".join([_line(100 + 2 * k), *shared, _line(101 + 2 * k)])) for k in range(600)]
+    out = _run(spark, rows)
+    assert all(out[k].removed_lines == 0 for k in (0, 1, 2, 3, 10))
+    assert all(out[10 + k].text == f"{_line(100 + 2 * k)}\n{_line(101 + 2 * k)}" for k in range(1, 600))
+
+
+def test_runs_are_those_of_each_start_and_end():
+    rng = random.Random(3)
+    for _ in range(50):
+        rows = [[(rng.randint(0, 5), rng.choice([0, 1, 3, 5, 9])) for _ in range(rng.randint(0, 9))] for _ in range(4)]
+        flat = [x for row in rows for x in row]
+        edges = np.concatenate([[0], np.cumsum([len(row) for row in rows])])
+        lines, words = (np.array([x[k] for x in flat], np.int64) for k in (0, 1))
+        found, at = runs(lines.astype(np.uint64), words, edges, 8)
+        expected = set()
+        for r, row in enumerate(rows):
+            for i in range(len(row)):
+                for j in range(i + 2, len(row) + 1):
+                    w = [x[1] for x in row[i:j]]
+                    on = 0 < w[0] < 8 and sum(w) >= 8 > sum(w[:-1])
+                    back = 0 < w[-1] < 8 and sum(w) >= 8 > sum(w[1:])
+                    if on or back:
+                        expected.add((r, tuple(x[0] for x in row[i:j])))
+        assert len(set(zip(at.tolist(), found.tolist()))) == len(expected)
+        assert len(set(found.tolist())) == len({x for _, x in expected})
+
+
 def test_lines_of_the_table_survive_once(docs):
     rule = LineDedup()
     before = {r.doc_id: r.text.split("\n") for r in docs.collect()}

@@ -2,11 +2,15 @@
 
 1. Every line becomes a 64-bit hash; equal texts form a class with the smallest
    doc_id as its document. A line belongs to the smallest document that has it.
-2. A later document meets the owner of a line they share if the line is rare
-   (in two documents, or in at most ``rare_share`` of all), or if the lines of
-   that owner make up half of the later document: then a passage that a third
-   of the corpus holds still brings its copies to the owner. One row per
+2. A run is the fewest neighbouring lines with ``min_words`` words, counted on
+   from a line or back from it; a long line is its own run. Runs have owners
+   as lines have. A later document meets the owner of each run it repeats,
+   however many documents hold the run: every block that could be deleted
+   contains a run. It also meets the owner of a shorter line they share if the
+   line is rare (in two documents, or in at most ``rare_share`` of all), or if
+   the lines of that owner make up half of the later document. One row per
    document and owner, so a group of any size gives no pairs inside itself.
+   Rows of an owner that many documents meet are dealt to several tasks.
 3. Patience diff aligns the two documents: lines that occur once in both and
    keep their order anchor it, equal neighbours extend it, and the gaps are
    aligned in the same way. Runs of aligned lines with at least ``min_words``
@@ -27,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize, only
-from .text import IS_SPACE, column_bytes, hash_spans, row_of, signed, spans, steps
+from .text import IS_SPACE, U, chain, column_bytes, hash_spans, mix, row_of, signed, spans, steps
 
+_BASE = U(0xD6E8FEB86659FD93)
 
 @dataclass(frozen=True)
 class LineDedup:
@@ -40,7 +45,31 @@ class LineDedup:
     half: float = 0.5
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Documents with one line or run that a task aligns with its owner, about.
+_PART = 256
+
+
+def runs(lines: np.ndarray, words: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each run of two or more lines; ``edges`` are the first lines of the rows and the end."""
+    n = len(lines)
+    if n == 0:
+        return np.empty(0, U), np.empty(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    short = np.flatnonzero((words > 0) & (words < least))
+    # On from a line to the first line that fills the run, and back from a line in the same way.
+    on = np.searchsorted(total, total[short] + least)
+    back = np.searchsorted(total, total[short + 1] - least, side="right") - 1
+    first = np.concatenate([short[on <= edges[row[short] + 1]], back[back >= edges[row[short]]]])
+    stop = np.concatenate([on[on <= edges[row[short] + 1]], short[back >= edges[row[short]]] + 1])
+    # Prefix sums of a polynomial hash modulo 2^64; the base is odd, so its powers can be divided out.
+    power = np.cumprod(np.concatenate([np.ones(1, U), np.full(n - 1, _BASE)]))
+    inverse = np.cumprod(np.concatenate([np.ones(1, U), np.full(n - 1, U(pow(int(_BASE), -1, 2**64)))]))
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(lines) * power)])
+    return chain((sums[stop] - sums[first]) * inverse[first], (stop - first).astype(U)), row[first]
+
+
+def _lines(batches: Iterator[pa.RecordBatch], rule: LineDedup) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
         raw, offsets = column_bytes(batch.column("text"))
         rows = len(offsets) - 1
@@ -56,15 +85,20 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_starts, _ = spans(~IS_SPACE[raw], offsets)
         words = np.searchsorted(word_starts, stops) - np.searchsorted(word_starts, starts)
         edges = np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)
-        lists = lambda x: pa.ListArray.from_arrays(pa.array(edges), pa.array(x))
+        lists = lambda x, at=edges: pa.ListArray.from_arrays(pa.array(at), pa.array(x))
+        hashes = hash_spans(raw, starts, stops)
+        found, at = runs(hashes, words, edges, rule.min_words)
+        found = found[np.argsort(at, kind="stable")]
+        run_edges = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=rows))]).astype(np.int32)
         yield pa.record_batch(
             [
                 batch.column("doc_id"),
                 batch.column("digest"),
-                lists(signed(hash_spans(raw, starts, stops))),
+                lists(signed(hashes)),
                 lists(words.astype(np.int32)),
+                lists(signed(found), run_edges),
             ],
-            names=["doc_id", "digest", "lines", "words"],
+            names=["doc_id", "digest", "lines", "words", "runs"],
         )
 
 
@@ -108,7 +142,8 @@ def patience(left: list[int], right: list[int]) -> list[tuple[int, int]]:
 
 def _blocks(rule: LineDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # A few rows at a time as Python objects: owners can be long.
+        for batch in (whole.slice(k, 64) for whole in batches for k in range(0, whole.num_rows, 64)):
             cut: list[list[dict]] = []
             names = ("owner_lines", "lines", "words")
             for owner, lines, words in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
@@ -143,29 +178,48 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def overlaps(lines: DataFrame, rule: LineDedup) -> DataFrame:
-    """``(digest, owner)`` of distinct texts: pairs of a later text and an earlier one it overlaps."""
+    """``(digest, owner, parts)`` of distinct texts: pairs of a later text and an earlier one it overlaps.
+
+    ``parts`` is the number of tasks, a power of two, that share the rows of the owner with this number.
+    """
     few = max(2, int(lines.count() * rule.rare_share))
+    single = F.transform(
+        F.array_distinct(F.arrays_zip("lines", "words")),
+        lambda x: F.struct(x["lines"].alias("line"), x["words"].alias("words"), (x["words"] >= rule.min_words).alias("run")),
+    )
+    several = F.transform(
+        F.array_distinct("runs"),
+        lambda x: F.struct(x.alias("line"), F.lit(0).alias("words"), F.lit(True).alias("run")),
+    )
+    long = F.filter(single, lambda x: x["run"] | (x["words"] >= rule.line_words))
     seen = lines.select(
         "digest",
         "doc_id",
         F.aggregate("words", F.lit(0), lambda s, w: s + w).alias("all_words"),
-        F.explode(F.array_distinct(F.arrays_zip("lines", "words"))).alias("line"),
-    ).where(F.col("line.words") >= rule.line_words)
-    owner = (
-        seen.groupBy(F.col("line.lines").alias("line"))
+        F.explode(F.concat(long, several)).alias("key"),
+    ).select("digest", "doc_id", "all_words", "key.*")
+    # Written, so that the join below has its own exchange and a hot line can be dealt to several tasks.
+    owner = materialize(
+        seen.groupBy("line")
         .agg(F.min(F.struct("doc_id", "digest")).alias("owner"), F.count("*").alias("texts_with"))
         .where("texts_with > 1")
+        .select("line", F.col("owner.digest").alias("owner"), "texts_with"),
+        "line-owners",
     )
-    owner = owner.select("line", "owner", (F.col("texts_with") <= few).alias("rare"))
+    meets = F.col("run") | (F.col("texts_with") <= few)
+    parts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("texts_with") / _PART, F.lit(1.0))))).cast("int")
     return (
-        seen.withColumn("words", F.col("line.words"))
-        .withColumn("line", F.col("line.lines"))
-        .join(owner, "line")
-        .where("owner.digest <> digest")
+        seen.join(owner, "line")
+        .where("owner <> digest")
         .groupBy("digest", "owner")
-        .agg(F.max("rare").alias("rare"), F.sum("words").alias("shared"), F.max("all_words").alias("all_words"))
-        .where(F.col("rare") | (F.col("shared") >= rule.half * F.col("all_words")))
-        .select("digest", F.col("owner.digest").alias("owner"))
+        .agg(
+            F.max(meets).alias("meets"),
+            F.sum("words").alias("shared"),
+            F.max("all_words").alias("all_words"),
+            F.max("texts_with").alias("texts_with"),
+        )
+        .where(F.col("meets") | (F.col("shared") >= rule.half * F.col("all_words")))
+        .select("digest", "owner", parts.alias("parts"))
     )
 
 
@@ -186,18 +240,27 @@ def line_dedup(docs: DataFrame, rule: LineDedup | None = None) -> DataFrame:
         only(docs, "doc_id", "text")
         .where("doc_id is not null")
         .withColumn("digest", digest)
-        .mapInArrow(_lines, "doc_id long, digest binary, lines array<long>, words array<int>"),
+        .mapInArrow(
+            lambda batches: _lines(batches, rule),
+            "doc_id long, digest binary, lines array<long>, words array<int>, runs array<long>",
+        ),
         "lines",
     )
     first = lines.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     texts = materialize(lines.join(first, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest"]), "texts")
 
-    pairs = overlaps(texts, rule)
+    pairs = materialize(overlaps(texts, rule), "line-pairs")
     own = texts.select("digest", "lines", "words")
-    earlier = texts.select(F.col("digest").alias("owner"), F.col("lines").alias("owner_lines"))
+    earlier = (
+        pairs.select("owner", "parts")
+        .distinct()
+        .join(texts.select(F.col("digest").alias("owner"), F.col("lines").alias("owner_lines")), "owner")
+        .withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    )
     cuts = (
-        pairs.join(own, "digest")
-        .join(earlier, "owner")
+        pairs.withColumn("part", F.expr("cast(pmod(xxhash64(digest), parts) as int)"))
+        .join(own, "digest")
+        .join(earlier, ["owner", "parts", "part"])
         .select("digest", "owner_lines", "lines", "words")
         .mapInArrow(_blocks(rule), "digest binary, cuts array<struct<low:int,high:int>>")
         .where("size(cuts) > 0")
