@@ -91,6 +91,23 @@ def test_a_hot_passage_of_short_lines(spark):
     assert all(out[10 + k].text == f"{_line(100 + 2 * k)}\n{_line(101 + 2 * k)}" for k in range(1, 600))
 
 
+def test_a_passage_pasted_twice(spark):
+    shared = [_line(k) for k in range(4)]
+    short = ["one two three four five", "", "six seven", "eight nine ten"]
+    rows = [
+        (1, "\n".join([*shared, "end", *short])),
+        (2, "\n".join(["a", *shared, "b", *shared, "c", *shared[1:3], "d", *short, "e", *short, "f", short[0]])),
+        (3, "\n".join([_line(50), _line(51), "x", _line(50), _line(51)])),
+        (4, "\n".join(["y", _line(50), _line(51), "z"])),
+        (5, "\n".join(["u", _line(50), _line(51), "v", _line(50), _line(51), "w", _line(50), _line(51)])),
+    ]
+    out = _run(spark, rows)
+    assert out[1].removed_lines == out[3].removed_lines == 0
+    assert out[2].text == f"a\nb\nc\nd\ne\nf\n{short[0]}"
+    assert out[4].text == "y\nz"
+    assert out[5].text == "u\nv\nw"
+
+
 def test_runs_are_those_of_each_start_and_end():
     rng = random.Random(3)
     for _ in range(50):

@@ -13,9 +13,10 @@
    Rows of an owner that many documents meet are dealt to several tasks.
 3. Patience diff aligns the two documents: lines that occur once in both and
    keep their order anchor it, equal neighbours extend it, and the gaps are
-   aligned in the same way. Runs of aligned lines with at least ``min_words``
-   words are deleted from the later document. The owner keeps them, since no
-   earlier document has them.
+   aligned in the same way; where no line occurs once, the first of a line goes
+   with the first. Runs of aligned lines with at least ``min_words`` words are
+   deleted from the later document, and so are its further copies of them.
+   The owner keeps them, since no earlier document has them.
 """
 
 from __future__ import annotations
@@ -119,6 +120,18 @@ def patience(left: list[int], right: list[int]) -> list[tuple[int, int]]:
         count_left, count_right = Counter(left[a:b]), Counter(right[c:d])
         place = {right[j]: j for j in range(c, d) if count_right[right[j]] == 1}
         common = [(i, place[left[i]]) for i in range(a, b) if count_left[left[i]] == 1 and left[i] in place]
+        if not common:
+            # Nothing occurs once on both sides: the first of a line goes with the first, the second with the second.
+            nth: Counter[int] = Counter()
+            places = {}
+            for j in range(c, d):
+                places[right[j], nth[right[j]]] = j
+                nth[right[j]] += 1
+            nth.clear()
+            for i in range(a, b):
+                if (left[i], nth[left[i]]) in places:
+                    common.append((i, places[left[i], nth[left[i]]]))
+                nth[left[i]] += 1
         # Longest run of anchors that increases on the right side too.
         tails: list[int] = []
         heads: list[int] = []
@@ -140,6 +153,53 @@ def patience(left: list[int], right: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _run_ends(words: list[int], least: int, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Fewest lines in ``low:high`` with ``least`` words, on from each line with words and back from each."""
+    i, total = low, 0
+    for j in range(low, high):
+        total += words[j]
+        while total >= least:
+            if words[i] > 0:
+                yield i, j + 1
+            total -= words[i]
+            i += 1
+    i, total = high - 1, 0
+    for j in range(high - 1, low - 1, -1):
+        total += words[j]
+        while total >= least:
+            if words[i] > 0:
+                yield j, i + 1
+            total -= words[i]
+            i -= 1
+
+
+def further_copies(lines: list[int], words: list[int], cuts: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Parts of ``lines`` between the cuts that repeat part of a cut with ``least`` words or more; no part of a cut is given."""
+    if not cuts:
+        return []
+    known = {tuple(lines[i:j]) for low, high in cuts for i, j in _run_ends(words, least, low, high)}
+    gone = {line for low, high in cuts for line in lines[low:high]}
+    rest, at = [], 0
+    for low, high in [*cuts, (len(lines), len(lines))]:
+        # Only neighbours that all occur in cuts can repeat one.
+        k = at
+        while k < low:
+            start = k
+            while k < low and lines[k] in gone:
+                k += 1
+            if k > start:
+                rest += [(i, j) for i, j in _run_ends(words, least, start, k) if tuple(lines[i:j]) in known]
+            k += 1
+        at = high
+    out: list[tuple[int, int]] = []
+    for i, j in sorted(rest):
+        if out and i <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], j))
+        else:
+            out.append((i, j))
+    return out
+
+
 def _blocks(rule: LineDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A few rows at a time as Python objects: owners can be long.
@@ -153,9 +213,10 @@ def _blocks(rule: LineDedup):
                     if k == len(matched) or matched[k] != (matched[k - 1][0] + 1, matched[k - 1][1] + 1):
                         low, high = matched[start][1], matched[k - 1][1] + 1
                         if sum(words[low:high]) >= rule.min_words:
-                            found.append({"low": low, "high": high})
+                            found.append((low, high))
                         start = k
-                cut.append(found)
+                found += further_copies(lines, words, found, rule.min_words)
+                cut.append([{"low": low, "high": high} for low, high in found])
             yield pa.record_batch(
                 [batch.column("digest"), pa.array(cut, pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))],
                 names=["digest", "cuts"],
