@@ -17,6 +17,7 @@ from .near_dup import NearDup, near_duplicates
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .url_filter import Rule, canonical, host, judge, path
+from .whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +98,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_multi_index_hashing": op1_multi_index_hashing,
@@ -109,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_token_counts": op10_token_counts,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
