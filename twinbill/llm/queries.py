@@ -14,6 +14,7 @@ from .chunks import substring_dedup
 from .line_dedup import line_dedup
 from .lm import lm_scores
 from .near_dup import NearDup, near_duplicates
+from .ranked_search import ranked_search
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .url_filter import Rule, canonical, host, judge, path
@@ -98,6 +99,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -114,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_token_counts": op10_token_counts,
+        "op12_ranked_lexical_search": op12_ranked_lexical_search,
         "op13_embedding_whitening": op13_embedding_whitening,
     }
 
@@ -176,6 +182,42 @@ SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id, min(other
 FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id
 """
 
+_TERMS = r"""regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+RANKED_SEARCH_SQL = f"""
+WITH numbered AS (
+  SELECT row_number() OVER () AS row, doc_id, text FROM documents WHERE text IS NOT NULL
+), terms AS (
+  SELECT row, doc_id, unnest({_TERMS}) AS term FROM numbered
+), asked AS (
+  SELECT item_id, term, count(*) AS uses
+  FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark))
+  GROUP BY ALL
+), sizes AS (
+  SELECT row, count(*) AS n FROM terms GROUP BY row
+), totals AS (
+  SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes
+), norms AS (
+  SELECT row, 75 + ((25 * n * documents) // all_terms) AS m FROM sizes, totals
+), counts AS (
+  SELECT row, doc_id, term, count(*) AS tf FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counts, totals GROUP BY term
+), scores AS (
+  SELECT item_id, row, any_value(doc_id) AS doc_id,
+         CAST(sum(uses * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM counts JOIN norms USING (row) JOIN weights USING (term) JOIN asked USING (term)
+  GROUP BY item_id, row
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+  FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_near_dup": NEAR_DUP_SQL, "op7_url_filter": URL_FILTER_SQL}
+    return {"op5_minhash_near_dup": NEAR_DUP_SQL, "op7_url_filter": URL_FILTER_SQL, "op12_ranked_lexical_search": RANKED_SEARCH_SQL}
