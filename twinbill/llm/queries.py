@@ -11,6 +11,7 @@ from .ann import nearest_neighbours
 from .benchmark import contamination
 from .bpe import digests
 from .chunks import substring_dedup
+from .language_id import languages
 from .line_dedup import line_dedup
 from .lm import lm_scores
 from .near_dup import NearDup, near_duplicates
@@ -99,6 +100,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -119,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_token_counts": op10_token_counts,
+        "op11_language_id": op11_language_id,
         "op12_ranked_lexical_search": op12_ranked_lexical_search,
         "op13_embedding_whitening": op13_embedding_whitening,
     }
