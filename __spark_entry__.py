@@ -43,9 +43,10 @@ from twinbill.plans.requests import triage_requests  # noqa: E402
 from twinbill.plans.score_csv import score_csv  # noqa: E402
 from twinbill.plans.training import train_and_evaluate, write_run  # noqa: E402
 from twinbill.plans.triage import flagged_pairs, triage  # noqa: E402
-from twinbill.schema import FEATURE_NAMES  # noqa: E402
+from twinbill.schema import FEATURE_NAMES, INVOICE_COLUMNS  # noqa: E402
 from twinbill.session import materialize, scratch_path  # noqa: E402
 from twinbill.sources.files import (  # noqa: E402
+    csv_quarantine,
     read_csv,
     read_json_batches,
     write_json,
@@ -113,26 +114,85 @@ def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.typed(read_csv(spark, path))
 
 
+def csv_quarantine_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the ledger's rows with a field too many and a tenth without the last one, among the others."""
+    path = scratch_path(spark, "csv")
+    rows = ledger(spark, sf_dir)
+    number = F.substring("invoice_id", 3, 8).cast("bigint")
+    amount = F.format_string("%.2f", "amount")
+    fields = [amount if c == "amount" else F.col(c).cast("string") for c in INVOICE_COLUMNS]
+    line = (
+        F.when(number % 10 == 3, F.concat_ws(",", *fields[:-1]))
+        .when(number % 10 == 7, F.concat_ws(",", *fields, F.lit("more")))
+        .otherwise(F.concat_ws(",", *fields))
+    )
+    file = F.pmod(F.xxhash64("invoice_id"), F.lit(4))
+    body = rows.select(file.alias("file"), F.lit(1).alias("after"), line.alias("line"))
+    # each file starts with the header
+    head = spark.range(4).select(F.col("id").alias("file"), F.lit(0).alias("after"), F.lit(",".join(INVOICE_COLUMNS)).alias("line"))
+    lines = head.unionByName(body).repartition("file").sortWithinPartitions("file", "after")
+    lines.select("file", "line").write.partitionBy("file").text(path)
+    return csv_quarantine(spark, f"{path}/*").drop("file")
+
+
 def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "json")
     invoice = F.struct(*[c for c in ledger(spark, sf_dir).columns if c not in ("group_id", *LABELS)])
     ledger(spark, sf_dir).select(F.array(invoice).alias("invoices")).write.json(path)
-    return V.typed(read_json_batches(spark, path, multiline=False).drop("unknown_fields", "batch_id"))
+    rows = read_json_batches(spark, path, multiline=False)
+    return V.typed(rows.drop("unknown_fields", "batch_id", "document", "problem"))
 
 
-def _requests(spark: SparkSession, sf_dir: str):
-    """One document for the invoices of each vendor and quarter, triaged by document."""
-    path = scratch_path(spark, "requests")
+def _request_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invoices of each vendor and quarter, in documents of at most about REQUEST_ROWS rows."""
     rows = ledger(spark, sf_dir).drop("group_id", *LABELS)
     amount = F.format_string("%.2f", "amount").alias("amount")
     invoice = F.struct(*[amount if c == "amount" else c for c in rows.columns])
-    quarter = F.date_trunc("quarter", "invoice_date")
-    rows.groupBy("vendor_account_id", quarter.alias("quarter")).agg(
-        F.collect_list(invoice).alias("invoices")
-    ).select("invoices").write.json(path)
+    key = ["vendor_account_id", "quarter"]
+    placed = rows.withColumn("quarter", F.date_trunc("quarter", "invoice_date"))
+    sizes = placed.groupBy(*key).agg(F.ceil(F.count("*") / oracle.REQUEST_ROWS).alias("parts"))
+    part = F.substring("invoice_id", 3, 8).cast("bigint") % F.col("parts")
+    return (
+        placed.join(sizes, key)
+        .groupBy(*key, part.alias("part"))
+        .agg(F.collect_list(invoice).alias("invoices"))
+    )
+
+
+def _triaged(spark: SparkSession, sf_dir: str, texts: DataFrame):
+    path = scratch_path(spark, "requests")
+    texts.write.text(path)
     return triage_requests(read_json_batches(spark, path, multiline=False), FIXED_MODEL, PARAMS, PEPPER)
 
 
+def _requests(spark: SparkSession, sf_dir: str):
+    """One document for the invoices of each vendor and quarter, triaged by document."""
+    return _triaged(spark, sf_dir, _request_documents(spark, sf_dir).select(F.to_json(F.struct("invoices"))))
+
+
+def request_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of documents of which some are cut off, sent twice, of the wrong form, empty or repeat an id."""
+    made = _request_documents(spark, sf_dir).withColumn(
+        "kind",
+        (F.substring("vendor_account_id", 5, 4).cast("bigint") + F.year("quarter") * 4 + F.quarter("quarter")) % 8,
+    )
+    text, kind, rows = F.col("text"), F.col("kind"), F.col("invoices")
+    doubled = F.when(kind == 5, F.concat(rows, F.slice(rows, 1, 1))).otherwise(rows)
+    texts = made.withColumn("text", F.to_json(F.struct(doubled.alias("invoices")))).select(
+        F.explode(
+            F.when(kind == 0, F.array(F.left(text, F.length(text) - 20)))
+            .when(kind == 1, F.array(text, text))
+            .when(kind == 2, F.array(F.lit('{"invoices": "none"}')))
+            .when(kind == 3, F.array(F.concat(F.lit('{"sender": 1, '), F.substr(text, F.lit(2)))))
+            .when(kind == 4, F.array(F.lit('{"invoices": []}')))
+            .otherwise(F.array(text))
+        )
+    )
+    names = ["outcome", "reasons", "invoices", "reviewed_pairs", "flagged_pairs"]
+    report = _triaged(spark, sf_dir, texts).documents.withColumn("reasons", F.array_join("reasons", ","))
+    return report.groupBy(*names).agg(F.count("*").alias("documents"))
+
+
 def request_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(_requests(spark, sf_dir).matches).drop("batch_id")
 
@@ -190,12 +250,18 @@ def quality_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event = F.col("event_id").cast("string")
+    """Events as invoices; some name a time or a day that does not exist."""
+    event, moment = F.col("event_id").cast("string"), F.col("ts").cast("string")
+    moment = (
+        F.when(F.col("event_id") % 7 == 0, F.concat(F.left(moment, F.lit(10)), F.lit(" 25:61")))
+        .when(F.col("event_id") % 11 == 0, F.concat(F.left(moment, F.lit(4)), F.lit("-02-30")))
+        .otherwise(moment)
+    )
     raw = read_table(spark, sf_dir, "events").select(
         event.alias("invoice_id"),
         F.col("user_id").cast("string").alias("vendor_account_id"),
         F.col("event_type").alias("invoice_number"),
-        F.col("ts").cast("string").alias("invoice_date"),
+        moment.alias("invoice_date"),
         F.col("value").cast("string").alias("amount"),
         F.lit("TRY").alias("currency"),
         F.lit("").alias("po_number"),
@@ -679,6 +745,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ledger": ledger,
     "recurring_ledger": recurring_ledger,
     "csv_source": csv_source,
+    "csv_quarantine": csv_quarantine_rows,
     "json_source": json_source,
     "injected_duplicates": injected_duplicates,
     "invoice_contract_violations": invoice_contract_violations,
@@ -739,6 +806,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "threshold_floors": threshold_floors,
     "request_matches": request_matches,
     "request_summary": request_summary,
+    "request_documents": request_documents,
     "match_sink": match_sink,
     "sample_sink": sample_sink,
     "model_store": model_store,

@@ -23,6 +23,8 @@ NATIVE_FEATURES = (
 FLOORS = (0.05, 0.80, 1.01)
 CLASS_WEIGHTS = (0.75, 1.5)
 PEPPER = "demo-only-pepper"
+# Fixed value: invoices that a request document holds about at most.
+REQUEST_ROWS = 500
 
 
 def _terms(names):
@@ -157,13 +159,14 @@ PAIRS = PREPARED + _blocked()
 _BEST = """list_max(flatten([[CASE WHEN contains(b, substr(a, i, k)) THEN k * 1000 - i END
     for k in range(1, length(a) - i + 2)] for i in range(1, length(a) + 1)]))"""
 
-SIMILARITY = f""",
-wanted AS (
-  SELECT left_number_norm AS a, right_number_norm AS b FROM gapped
-  UNION SELECT left_number_digits, right_number_digits FROM gapped
-  UNION SELECT left_description_norm, right_description_norm FROM gapped),
-segment AS (
-  SELECT a AS a0, b AS b0, a, b, {_BEST} AS best FROM wanted WHERE a <> b AND a <> '' AND b <> ''
+
+
+def _alike(name: str, wanted: str) -> str:
+    """Table ``name`` of (a, b, ratio) for the text pairs (a, b) that ``wanted`` selects."""
+    return f""",
+{name}_wanted AS ({wanted}),
+{name}_segment AS (
+  SELECT a AS a0, b AS b0, a, b, {_BEST} AS best FROM {name}_wanted WHERE a <> b AND a <> '' AND b <> ''
   UNION ALL
   SELECT a0, b0, a, b, {_BEST} AS best FROM (
     SELECT a0, b0,
@@ -172,13 +175,22 @@ segment AS (
     FROM (SELECT a0, b0, a, b, size, i, strpos(b, substr(a, i, size)) AS j
           FROM (SELECT a0, b0, a, b, (best + 999) // 1000 AS size,
                   ((best + 999) // 1000) * 1000 - best AS i
-                FROM segment WHERE best IS NOT NULL))
+                FROM {name}_segment WHERE best IS NOT NULL))
     CROSS JOIN (VALUES (0), (1)) s(side)) WHERE a <> '' AND b <> ''),
-alike AS (
+{name} AS (
   SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE
     ELSE 2.0::DOUBLE * coalesce(matched, 0) / (length(a) + length(b)) END AS ratio
-  FROM wanted LEFT JOIN (SELECT a0, b0, sum((best + 999) // 1000) AS matched
-                         FROM segment GROUP BY 1, 2) ON a0 = a AND b0 = b)"""
+  FROM {name}_wanted LEFT JOIN (SELECT a0, b0, sum((best + 999) // 1000) AS matched
+                         FROM {name}_segment GROUP BY 1, 2) ON a0 = a AND b0 = b)"""
+
+
+SIMILARITY = _alike(
+    "alike",
+    """
+  SELECT left_number_norm AS a, right_number_norm AS b FROM gapped
+  UNION SELECT left_number_digits, right_number_digits FROM gapped
+  UNION SELECT left_description_norm, right_description_norm FROM gapped""",
+)
 
 _NATIVE = """
     (left_vendor_account_id = right_vendor_account_id)::INT::DOUBLE AS vendor_same,
@@ -341,15 +353,73 @@ _MATCH_COLUMNS = f"""{_PAIR_IDS},
   'ref_' || substr(sha256('{PEPPER}:' || left_vendor_account_id), 1, 12) AS vendor_ref,
   round_even(probability, 6) AS risk_score, {_policy(THRESHOLD)} AS state"""
 _FEATURE_LIST = ", ".join(f"round({f}, 9) AS {f}" for f in FEATURES)
-_MATCH_ROWS = SCORED + f""",
+
+
+def _bound(a: str, b: str) -> str:
+    """The similarity of two texts is at most that of the shorter one matched whole."""
+    return (
+        f"(CASE WHEN length({a}) + length({b}) = 0 THEN 1.0::DOUBLE "
+        f"ELSE 2.0::DOUBLE * least(length({a}), length({b})) / (length({a}) + length({b})) END)"
+    )
+
+
+def _likely_scored(pairs: str) -> str:
+    """``scored`` for pairs that can reach the threshold, found in two steps.
+
+    All features but the text similarities are known for every pair; first the
+    similarities count as their bounds, then the description's exactly. Only
+    pairs that are left need the similarity of numbers.
+    """
+    names = [n for n, *_ in _terms(FEATURES)]
+    best = {
+        # its weight is below zero, so 0 is best unless the texts are equal
+        "invoice_similarity": "(left_number_norm = right_number_norm)::INT::DOUBLE",
+        "digit_similarity": _bound("left_number_digits", "right_number_digits"),
+    }
+    text = {"description_similarity": _bound("left_description_norm", "right_description_norm")}
+
+    def margin(known: dict[str, str]) -> str:
+        parts = [f"({known.get(n, n)} - {m}::DOUBLE) / {s}::DOUBLE * {c}::DOUBLE" for n, m, s, c in _terms(names)]
+        return f"{INTERCEPT}::DOUBLE + " + " + ".join(parts)
+
+    cut = f"ln({THRESHOLD}::DOUBLE / (1 - {THRESHOLD}::DOUBLE)) - 1e-6"
+    return (
+        pairs
+        + f""",
+near AS (SELECT * FROM (SELECT *, {_NATIVE} FROM gapped) WHERE {margin(best | text)} >= {cut})"""
+        + _alike("texts", "SELECT DISTINCT left_description_norm AS a, right_description_norm AS b FROM near")
+        + f""",
+nearer AS (
+  SELECT * FROM (SELECT near.*, ratio AS description_similarity FROM near
+    JOIN texts ON a = left_description_norm AND b = right_description_norm) WHERE {margin(best)} >= {cut})"""
+        + _alike(
+            "numbers",
+            "SELECT left_number_norm AS a, right_number_norm AS b FROM nearer "
+            "UNION SELECT left_number_digits, right_number_digits FROM nearer",
+        )
+        + f""",
+features AS (
+  SELECT * FROM (SELECT nearer.*, n.ratio AS invoice_similarity, d.ratio AS digit_similarity FROM nearer
+    JOIN numbers n ON n.a = left_number_norm AND n.b = right_number_norm
+    JOIN numbers d ON d.a = left_number_digits AND d.b = right_number_digits)
+  WHERE gap <= 0.05 OR invoice_similarity >= 0.55),
+scored AS (SELECT *, 1.0 / (1.0 + exp(-({_margin(FEATURES, INTERCEPT)}))) AS probability FROM features)"""
+    )
+
+
+def _match_rows(pairs: str) -> str:
+    return _likely_scored(pairs) + f""",
 matched AS (SELECT {_MATCH_COLUMNS} FROM scored WHERE probability >= {THRESHOLD}),
-explained AS ({_evidence("scored", FEATURES)}),
+flagged AS (SELECT * FROM scored WHERE probability >= {THRESHOLD}),
+explained AS ({_evidence("flagged", FEATURES)}),
 matches AS (SELECT m.*, {_action("state")} AS action, evidence FROM matched m JOIN (
     SELECT {_PAIR_IDS}, string_agg(feature, ',' ORDER BY rank) AS evidence FROM explained
     GROUP BY 1, 2) USING ({_PAIR_IDS}))"""
-_MATCHES = _with(_MATCH_ROWS, "SELECT * FROM matches")
+
+
+_MATCHES = _with(_match_rows(PAIRS), "SELECT * FROM matches")
 _RANKED_MATCHES = _with(
-    _MATCH_ROWS,
+    _match_rows(PAIRS),
     f"SELECT *, row_number() OVER (ORDER BY risk_score DESC, {_PAIR_IDS}) AS place, true AS ranked "
     "FROM matches",
 )
@@ -394,15 +464,27 @@ SELECT source,
 FROM sources s"""
 
 
-_REQUESTS = (
+# A vendor's quarter, cut into documents of bounded size by the order's number.
+_REQUEST_PAIRS = (
     PREPARED
-    + ", parted AS (SELECT *, date_trunc('quarter', invoice_date) AS quarter, vendor_account_id AS document "
-    "FROM prepared)"
+    + f""", quarters AS (
+  SELECT *, date_trunc('quarter', invoice_date) AS quarter, substr(invoice_id, 3, 8)::BIGINT AS ok FROM prepared),
+parted AS (
+  SELECT *, vendor_account_id || '/' || (ok % ((count(*) OVER (PARTITION BY vendor_account_id, quarter) + {REQUEST_ROWS - 1})
+    // {REQUEST_ROWS})) AS document FROM quarters)"""
     + _blocked("parted", ("quarter", "document"))
+)
+_REQUESTS = (
+    _REQUEST_PAIRS
     + SIMILARITY
     + _features()
     + f""",
-scored AS (SELECT *, 1.0 / (1.0 + exp(-({_margin(FEATURES, INTERCEPT)}))) AS probability FROM features)"""
+scored AS (SELECT *, 1.0 / (1.0 + exp(-({_margin(FEATURES, INTERCEPT)}))) AS probability FROM features),
+sized AS (SELECT document, quarter, count(*) AS invoices FROM parted GROUP BY 1, 2),
+counted AS (SELECT document, quarter, count(*) AS reviewed,
+  count(*) FILTER (probability >= {THRESHOLD}) AS flagged FROM scored GROUP BY 1, 2),
+judged AS (SELECT document, quarter, invoices, coalesce(reviewed, 0) AS reviewed_pairs, coalesce(flagged, 0) AS flagged_pairs
+  FROM sized LEFT JOIN counted USING (document, quarter))"""
 )
 
 _INVOICE = (
@@ -460,7 +542,9 @@ ORACLES: dict[str, str] = {
   count(*) FILTER (value <= 0 OR isnan(value)) AS bad_amounts,
   count(*) FILTER (event_id IS NULL OR user_id IS NULL OR event_type IS NULL OR ts IS NULL
     OR value IS NULL OR props IS NULL) AS rows_with_null,
-  count(*) FILTER (ts IS NULL) AS bad_dates FROM events""",
+  count(*) FILTER (TRY_CAST(CASE WHEN event_id % 7 = 0 THEN left(ts::VARCHAR, 10) || ' 25:61'
+    WHEN event_id % 11 = 0 THEN left(ts::VARCHAR, 4) || '-02-30' ELSE ts::VARCHAR END AS TIMESTAMP) IS NULL) AS bad_dates
+FROM events""",
     "duplicate_ids": "SELECT l_orderkey || '-' || l_linenumber AS invoice_id, count(*) AS copies "
     "FROM lineitem GROUP BY 1 HAVING count(*) > 1",
     "null_cells": "SELECT 2 * count(*) FILTER (l.doc_id IS NULL) AS null_cells "
@@ -644,15 +728,36 @@ GROUP BY 1""",
     "triage_fixed_model": _RANKED_MATCHES,
     "triage_stream": _MATCHES,
     "match_sink": _MATCHES,
-    "request_matches": _with(_MATCH_ROWS.replace(SCORED, _REQUESTS), "SELECT * FROM matches"),
+    "request_matches": _with(_match_rows(_REQUEST_PAIRS), "SELECT * FROM matches"),
     "request_summary": _with(
+        _REQUESTS,
+        "SELECT invoices, reviewed_pairs, flagged_pairs, count(*) AS documents FROM judged GROUP BY 1, 2, 3",
+    ),
+    "request_documents": _with(
         _REQUESTS
-        + f""",
-sized AS (SELECT document, quarter, count(*) AS invoices FROM parted GROUP BY 1, 2),
-counted AS (SELECT document, quarter, count(*) AS reviewed,
-  count(*) FILTER (probability >= {THRESHOLD}) AS flagged FROM scored GROUP BY 1, 2)""",
-        "SELECT invoices, coalesce(reviewed, 0) AS reviewed_pairs, coalesce(flagged, 0) AS flagged_pairs, "
-        "count(*) AS documents FROM sized LEFT JOIN counted USING (document, quarter) GROUP BY 1, 2, 3",
+        + """,
+kinds AS (SELECT *, (substr(document, 5, 4)::BIGINT + year(quarter) * 4 + quarter(quarter)) % 8 AS kind FROM judged),
+told AS (
+  SELECT CASE WHEN kind IN (0, 2, 3, 4, 5) THEN 'refused' ELSE 'accepted' END AS outcome,
+    CASE kind WHEN 0 THEN 'document_unreadable' WHEN 2 THEN 'document_unreadable' WHEN 3 THEN 'unknown_document_field'
+      WHEN 4 THEN 'no_invoices' WHEN 5 THEN 'invoice_id_repeated' ELSE '' END AS reasons,
+    CASE WHEN kind IN (0, 2, 3, 4) THEN 0 WHEN kind = 5 THEN invoices + 1 ELSE invoices END AS invoices,
+    CASE WHEN kind IN (0, 2, 3, 4, 5) THEN 0 ELSE reviewed_pairs END AS reviewed_pairs,
+    CASE WHEN kind IN (0, 2, 3, 4, 5) THEN 0 ELSE flagged_pairs END AS flagged_pairs,
+    CASE kind WHEN 1 THEN 2 ELSE 1 END AS documents FROM kinds)""",
+        "SELECT outcome, reasons, invoices, reviewed_pairs, flagged_pairs, sum(documents)::BIGINT AS documents "
+        "FROM told GROUP BY ALL",
+    ),
+    "csv_quarantine": _with(
+        LEDGER,
+        f"""SELECT row_text || CASE ok % 10 WHEN 7 THEN ',more' ELSE '' END AS row_text,
+  CASE ok % 10 WHEN 7 THEN 10 ELSE 8 END AS fields, 9 AS expected,
+  CASE ok % 10 WHEN 7 THEN 'too_many_fields' ELSE 'too_few_fields' END AS reason
+FROM (SELECT substr(invoice_id, 3, 8)::BIGINT AS ok, concat_ws(',', invoice_id, vendor_account_id, invoice_number,
+        invoice_date::VARCHAR, printf('%.2f', amount), currency, po_number, bank_fingerprint,
+        CASE WHEN ok % 10 = 7 THEN description END) AS row_text
+      FROM (SELECT *, substr(invoice_id, 3, 8)::BIGINT AS ok FROM ledger))
+WHERE ok % 10 IN (3, 7)""",
     ),
     "score_csv": _MATCHES,
     "sample_sink": _with(

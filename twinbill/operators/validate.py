@@ -19,7 +19,10 @@ DECIMAL_FORM = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
 EXPONENT_FORM = r"[eE]"
 THIRD_DECIMAL = r"\.\d{2}\d*[1-9]"
 DATE_FORM = r"\A\d{4}-\d{2}-\d{2}\z"
-TIMESTAMP_FORM = r"\A\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?\z"
+_HOUR, _MINUTE = r"([01]\d|2[0-3])", r"[0-5]\d"
+TIMESTAMP_FORM = (
+    rf"\A\d{{4}}-\d{{2}}-\d{{2}}([T ]{_HOUR}:{_MINUTE}(:{_MINUTE}(\.\d+)?)?(Z|[+-]{_HOUR}:?{_MINUTE})?)?\z"
+)
 
 _IDENTIFIERS = ("invoice_id", "vendor_account_id", "invoice_number", "bank_fingerprint")
 _NO_CONTROL = ("invoice_id", "vendor_account_id", "bank_fingerprint")
@@ -52,7 +55,11 @@ def duplicate_ids(df: DataFrame) -> DataFrame:
 
 
 def as_date(value: Column, form: str = TIMESTAMP_FORM) -> Column:
-    """ISO date, by default with an ISO time after it; NULL where the text is none."""
+    """ISO date, by default with an ISO time after it; NULL where the text is none.
+
+    The whole text must name a day, and where it has a time one that exists; the
+    time is left out then.
+    """
     text = value.cast("string")
     return F.when(text.rlike(form), F.left(text, F.lit(10)).try_cast("date"))
 
@@ -63,7 +70,9 @@ def _checks(labels: bool) -> dict[str, Column]:
     any_null = F.lit(False)
     for name in required:
         any_null = any_null | F.col(name).isNull()
-    not_a_number = F.col("amount").isNotNull() & (amount.isNull() | F.isnan(amount))
+    not_a_number = F.col("amount").isNotNull() & (
+        amount.isNull() | F.isnan(amount) | (F.abs(amount) == float("inf"))
+    )
     return {
         "rows": F.count("*"),
         "bad_amounts": F.count_if((amount <= 0) | not_a_number),

@@ -19,11 +19,13 @@ BATCH = ("batch_id",)
 
 @dataclass(frozen=True)
 class RequestTriage:
-    """Matches with their batch, refused batches with reasons, and counts of every accepted batch."""
+    """Matches with their batch, refused batches with reasons, counts of every accepted batch, and one row
+    for every document read: where it stands, whether it was accepted, its reasons and its counts."""
 
     matches: DataFrame
     refused: DataFrame
     summary: DataFrame
+    documents: DataFrame
 
 
 def triage_requests(
@@ -34,25 +36,25 @@ def triage_requests(
 ) -> RequestTriage:
     """Contract, unique ids within a batch, and triage within a batch.
 
-    ``invoices`` are rows of ``read_json_batches``. A batch with a broken
-    invoice or a repeated id is refused as a whole; its rows are in no pair.
+    ``invoices`` are rows of ``read_json_batches``. A batch that could not be
+    read, has a broken invoice or repeats an id is refused as a whole; its rows are in no pair.
     """
-    checked = materialize(V.with_violations(invoices), "requests")
+    reasons = F.when(F.col("problem").isNotNull(), F.array("problem")).otherwise(F.col("violations"))
+    checked = materialize(V.with_violations(invoices).withColumn("violations", reasons), "requests")
     broken = (
         checked.where(F.size("violations") > 0)
         .select(*BATCH, "invoice_id", F.explode("violations").alias("reason"))
     )
     repeated = (
-        checked.groupBy(*BATCH, "invoice_id")
+        checked.where("problem is null")
+        .groupBy(*BATCH, "invoice_id")
         .agg(F.count("*").alias("copies"))
         .where("copies > 1")
         .select(*BATCH, "invoice_id", F.lit("invoice_id_repeated").alias("reason"))
     )
-    refused = broken.unionByName(repeated).distinct()
-    good = V.typed(
-        checked.drop("violations", "unknown_fields").join(refused.select(*BATCH).distinct(), list(BATCH), "left_anti"),
-        strict=True,
-    )
+    refused = materialize(broken.unionByName(repeated).distinct(), "refused")
+    rows = checked.drop("violations", "unknown_fields", "problem", "document")
+    good = V.typed(rows.join(refused.select(*BATCH).distinct(), list(BATCH), "left_anti"), strict=True)
     good = materialize(good, "requests")
     matches = flagged_pairs(good, model, params, pepper, within=BATCH)
     # ids are unique within a batch only, so pairs are counted where the batch is known
@@ -70,4 +72,27 @@ def triage_requests(
         .join(pairs, list(BATCH), "left")
         .na.fill(0, ["reviewed_pairs", "flagged_pairs"])
     )
-    return RequestTriage(matches, refused, summary)
+    return RequestTriage(matches, refused, summary, document_report(checked, refused, pairs))
+
+
+def document_report(checked: DataFrame, refused: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row for every document: place, outcome, distinct reasons in order, invoices and pairs."""
+    held = checked.groupBy(*BATCH).agg(
+        F.first("document").alias("document"), F.count_if(F.col("problem").isNull()).alias("invoices")
+    )
+    # as many entries at most as there are codes
+    why = refused.groupBy(*BATCH).agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
+    return (
+        held.join(why, list(BATCH), "left")
+        .join(pairs, list(BATCH), "left")
+        .na.fill(0, ["reviewed_pairs", "flagged_pairs"])
+        .select(
+            *BATCH,
+            "document.*",
+            F.when(F.col("reasons").isNull(), "accepted").otherwise("refused").alias("outcome"),
+            F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"),
+            "invoices",
+            "reviewed_pairs",
+            "flagged_pairs",
+        )
+    )
