@@ -11,7 +11,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import numpy as np  # noqa: E402
-from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_queries as oracle  # noqa: E402
@@ -59,7 +59,8 @@ from twinbill.sources.ledger import (  # noqa: E402
     read_table,
 )
 from twinbill.sources.model_store import load_model, parameter_rows, save_model  # noqa: E402
-from twinbill.streaming.triage_stream import triage_stream, write_matches  # noqa: E402
+from twinbill.streaming import intake  # noqa: E402
+from twinbill.streaming.triage_stream import hot_blocks, triage_stream, write_matches  # noqa: E402
 
 PARAMS = TriageParams()
 PEPPER = oracle.PEPPER
@@ -718,16 +719,29 @@ def unequal_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming --------------------------------------------------------------
 
 
+# Files of one batch of a stream, and the first day of every batch but the first.
+ARRIVAL_FILES = 4
+ARRIVAL_DAYS = ("1997-01-01", "1999-01-01", "2000-07-01")
+
+
+def _arrive(spark: SparkSession, rows: DataFrame, batch: Column) -> DataFrame:
+    """``rows`` as a stream: one micro-batch for each value 0, 1, ... of ``batch``, in that order."""
+    folder = scratch_path(spark, "arrivals")
+    for number in range(len(ARRIVAL_DAYS) + 1):
+        part = rows.where(batch == number).repartition(ARRIVAL_FILES)
+        part.write.mode("append").parquet(folder)
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", ARRIVAL_FILES)
+    return reader.parquet(folder)
+
+
+def _batch_of(day: Column) -> Column:
+    return sum(((day >= start).cast("int") for start in ARRIVAL_DAYS), F.lit(0))
+
+
 def triage_stream_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders arrive as a stream; matches are appended to a table."""
     table = read_table(spark, sf_dir, "orders")
-    day = F.col("o_orderdate").cast("date")
-    folder = scratch_path(spark, "arrivals")
-    # one file after the other, in the order of dates; each is a batch of its own
-    for low, high in (("0001", "1995"), ("1995", "1997"), ("1997", "9999")):
-        part = table.where((day >= f"{low}-01-01") & (day < f"{high}-01-01"))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    orders = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    orders = _arrive(spark, table, _batch_of(F.col("o_orderdate").cast("date")))
     arriving = inject(
         base_ledger(
             orders, read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part")
@@ -735,12 +749,46 @@ def triage_stream_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     output = scratch_path(spark, "matches")
     # copies are dated up to three weeks after the order they arrive with
-    matches = triage_stream(arriving, FIXED_MODEL, PARAMS, PEPPER, lateness="30 days", cuts=2)
+    hot = hot_blocks(ledger(spark, sf_dir))
+    matches = triage_stream(arriving, FIXED_MODEL, PARAMS, PEPPER, lateness="30 days", hot=hot)
     query = write_matches(matches, output, scratch_path(spark, "stream"))
     query.awaitTermination()
     return _flat(spark.read.schema(matches.schema).parquet(output))
 
 
+def _arriving_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as a stream of texts: some rows come years late, some twice, some break the contract."""
+    rows = ledger(spark, sf_dir).drop("group_id", *LABELS)
+    number, day = F.substring("invoice_id", 3, 8).cast("bigint"), F.col("invoice_date")
+    batch = F.when(number % 13 == 0, len(ARRIVAL_DAYS)).otherwise(_batch_of(day))
+    changed = {
+        "amount": F.when(number % 29 == 0, "0.00").otherwise(F.format_string("%.2f", "amount")),
+        "currency": F.when(number % 23 == 0, F.lower("currency")).otherwise(F.col("currency")),
+    }
+    texts = rows.withColumns(
+        {c: changed.get(c, F.col(c).cast("string")) for c in rows.columns}
+        | {"batch": batch, "copy": F.explode(F.sequence(F.lit(0), (number % 17 == 0).cast("int")))}
+    )
+    return _arrive(spark, texts, F.col("batch")).drop("batch", "copy")
+
+
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each batch of a stream read, accepted, found late and found repeated."""
+    good = intake.accepted(_arriving_texts(spark, sf_dir), "30 days")
+    query = intake.append(good, scratch_path(spark, "accepted"), scratch_path(spark, "stream"))
+    query.awaitTermination()
+    return intake.arrivals(query)
+
+
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and ids that a stream sets aside, read back from the quarantine table."""
+    bad = intake.quarantine(_arriving_texts(spark, sf_dir), "30 days")
+    output = scratch_path(spark, "quarantine")
+    intake.append(bad, output, scratch_path(spark, "stream")).awaitTermination()
+    found = spark.read.schema(bad.schema).parquet(output)
+    return found.withColumn("reasons", F.array_join("reasons", ","))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ledger": ledger,
     "recurring_ledger": recurring_ledger,
@@ -803,6 +851,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_compare": run_compare,
     "unequal_rows": unequal_row_counts,
     "triage_stream": triage_stream_matches,
+    "stream_late_rows": stream_late_rows,
+    "stream_quarantine": stream_quarantine,
     "threshold_floors": threshold_floors,
     "request_matches": request_matches,
     "request_summary": request_summary,

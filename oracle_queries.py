@@ -504,6 +504,24 @@ def _recall(pairs: str) -> str:
     ON left_group_id = group_id"""
 
 
+# The ledger as it arrives in four batches. Spark drops a row behind the watermark that the batch before began
+# with, that is the newest day of the batches up to the last but one, less the lateness.
+_ARRIVALS = (
+    LEDGER
+    + """,
+numbers AS (SELECT *, substr(invoice_id, 3, 8)::BIGINT AS k FROM ledger),
+arriving AS (
+  SELECT *, k % 23 = 0 AS bad_currency, k % 29 = 0 AS bad_amount, CASE WHEN k % 17 = 0 THEN 2 ELSE 1 END AS copies,
+    CASE WHEN k % 13 = 0 THEN 3 ELSE (invoice_date >= DATE '1997-01-01')::INT + (invoice_date >= DATE '1999-01-01')::INT
+      + (invoice_date >= DATE '2000-07-01')::INT END AS batch FROM numbers),
+judged AS (
+  SELECT *, invoice_date <= watermark AS behind FROM (
+    SELECT *, NOT bad_currency AND NOT bad_amount AS fine,
+      coalesce((SELECT max(invoice_date) FROM arriving o WHERE o.batch < a.batch - 1
+        AND NOT o.bad_currency AND NOT o.bad_amount), DATE '1900-01-01') - 30 AS watermark
+    FROM arriving a))"""
+)
+
 ORACLES: dict[str, str] = {
     "ledger": _with(LEDGER, _ALL),
     "recurring_ledger": _with(BASE + "," + RECURRING + "," + _ledger("repeated"), _ALL),
@@ -727,6 +745,23 @@ GROUP BY 1""",
     ),
     "triage_fixed_model": _RANKED_MATCHES,
     "triage_stream": _MATCHES,
+    "stream_late_rows": _with(
+        _ARRIVALS,
+        """SELECT batch::BIGINT AS batch, sum(copies)::BIGINT AS rows_read, count(*) FILTER (fine AND NOT behind) AS accepted,
+  coalesce(sum(copies) FILTER (fine AND behind), 0)::BIGINT AS late,
+  coalesce(sum(copies - 1) FILTER (fine AND NOT behind), 0)::BIGINT AS repeated
+FROM judged GROUP BY 1""",
+    ),
+    "stream_quarantine": _with(
+        _ARRIVALS,
+        """SELECT invoice_id, concat_ws(',', CASE WHEN bad_amount THEN 'amount_not_positive' END,
+    CASE WHEN bad_currency THEN 'currency_form' END) AS reasons, 1::BIGINT AS copies
+  FROM judged CROSS JOIN range(2) t(copy) WHERE NOT fine AND copy < copies
+UNION ALL
+SELECT invoice_id, 'invoice_id_repeated', copies::BIGINT FROM judged
+  WHERE fine AND copies > 1 AND invoice_date + 30 > watermark
+    AND invoice_date + 30 <= (SELECT max(invoice_date) FROM judged WHERE fine) - 30""",
+    ),
     "match_sink": _MATCHES,
     "request_matches": _with(_match_rows(_REQUEST_PAIRS), "SELECT * FROM matches"),
     "request_summary": _with(

@@ -122,9 +122,9 @@ def test_score_csv(spark, run, ledger, tmp_path):
     }
 
 
-@pytest.mark.parametrize("cuts", [1, 3])
-def test_stream_finds_the_batch_pairs(spark, ledger, tmp_path, cuts):
-    """The ledger arrives as files in date order, one micro-batch each."""
+@pytest.mark.parametrize("cell_rows", [None, 2])
+def test_stream_finds_the_batch_pairs(spark, ledger, tmp_path, cell_rows):
+    """The ledger arrives as files in date order, one micro-batch each; hot blocks are spread."""
     source = str(tmp_path / "arriving")
     plain = ledger.drop("is_duplicate_record", "duplicate_type")
     bounds = [date(1900, 1, 1), date(1997, 1, 1), date(1999, 1, 1), date(2100, 1, 1)]
@@ -136,10 +136,16 @@ def test_stream_finds_the_batch_pairs(spark, ledger, tmp_path, cuts):
         spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", 1).parquet(source)
     )
     output = str(tmp_path / "matches")
-    matches = TS.triage_stream(stream, MODEL, TriageParams(), "p", cuts=cuts)
+    hot = cell_rows and TS.hot_blocks(plain, cell_rows)
+    assert hot is None or 0 < hot.count() < plain.select("vendor_account_id").distinct().count() * 2
+    matches = TS.triage_stream(stream, MODEL, TriageParams(), "p", hot=hot)
     query = TS.write_matches(matches, output, str(tmp_path / "check"))
     query.awaitTermination()
-    assert len([p for p in query.recentProgress if p["numInputRows"]]) >= 2
+    seen = [p for p in query.recentProgress if p["numInputRows"]]
+    assert len(seen) >= 2
+    # what the watermark has passed has left the state
+    kept = query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+    assert kept < max(p["stateOperators"][0]["numRowsTotal"] for p in seen) / 2
 
     got = spark.read.schema(matches.schema).parquet(output)
     want = flagged_pairs(plain, MODEL, TriageParams(), "p")
@@ -147,19 +153,57 @@ def test_stream_finds_the_batch_pairs(spark, ledger, tmp_path, cuts):
     assert got.orderBy(*names).collect() == want.orderBy(*names).collect()
 
 
-def test_stream_quarantines_broken_rows(spark, tmp_path):
-    rows = spark.createDataFrame([invoice("A"), invoice("B", currency="try")], INVOICE)
-    text = rows.select([F.col(c).cast("string").alias(c) for c in rows.columns])
+def test_bands_of_a_narrow_model_narrow_the_stream(spark, ledger, tmp_path):
+    """One block, an amount band and fewer days, as the model implies them; the same pairs."""
+    from dataclasses import replace
+
+    from twinbill.operators.scoring import reach
+
+    heavy = [0.0] * 9
+    heavy[0], heavy[5], heavy[6] = 30.0, 30.0, 30.0
+    narrow = replace(MODEL, mean=(0.0,) * 9, scale=(1.0,) * 9, coefficient=tuple(heavy), intercept=-85.0, threshold=0.5)
+    band = reach(narrow, TriageParams())
+    assert band.blocks == ("vendor",) and band.max_gap < 1 and band.max_days < 60
+    source = str(tmp_path / "arriving")
+    plain = ledger.drop("is_duplicate_record", "duplicate_type")
+    plain.repartition(1).write.parquet(source)
+    stream = spark.readStream.schema(plain.schema).parquet(source)
+    matches = TS.triage_stream(stream, narrow, TriageParams(), "p")
+    TS.write_matches(matches, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    names = ["left_invoice_id", "right_invoice_id"]
+    got = spark.read.schema(matches.schema).parquet(str(tmp_path / "out")).select(*names)
+    want = flagged_pairs(plain, narrow, TriageParams(), "p", prune=False).select(*names)
+    assert sorted(got.collect()) == sorted(want.collect()) != []
+
+
+def test_stream_sets_rows_and_ids_aside(spark, tmp_path):
+    from twinbill.streaming import intake
+
+    def day(d, i, **change):
+        return invoice(i, day=date(2026, 1, d), **change)
+
+    batches = [
+        [day(1, "A"), day(2, "B", currency="try"), day(1, "A"), day(3, "C", amount=0.0)],
+        [day(20, "D"), day(4, "A"), day(20, "E")],  # A again, within the lateness
+        [day(28, "F"), day(21, "D")],
+        [day(2, "G"), day(28, "H")],  # G is behind the watermark
+    ]
     source = str(tmp_path / "in")
-    text.coalesce(1).write.parquet(source)
-    good, bad = TS.contract_streams(spark.readStream.schema(text.schema).parquet(source))
-    for name, stream in (("good", good), ("bad", bad)):
-        TS.write_quarantine(
-            stream, str(tmp_path / name), str(tmp_path / f"{name}-check")
-        ).awaitTermination()
-    assert [r["invoice_id"] for r in spark.read.parquet(str(tmp_path / "good")).collect()] == ["A"]
-    row = spark.read.parquet(str(tmp_path / "bad")).first()
-    assert (row["invoice_id"], row["violations"]) == ("B", ["currency_form"])
+    for rows in batches:
+        df = spark.createDataFrame(rows, INVOICE).drop("group_id")
+        text = df.select([F.col(c).cast("string") for c in df.columns])
+        text.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(text.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    good = intake.append(intake.accepted(stream, "5 days"), str(tmp_path / "good"), str(tmp_path / "c1"))
+    bad = intake.append(intake.quarantine(stream, "5 days"), str(tmp_path / "bad"), str(tmp_path / "c2"))
+    good.awaitTermination()
+    bad.awaitTermination()
+    counts = [tuple(r) for r in intake.arrivals(good).orderBy("batch").collect()]
+    assert counts == [(0, 4, 1, 0, 1), (1, 3, 2, 0, 1), (2, 2, 1, 0, 1), (3, 2, 1, 1, 0)]
+    assert sorted(r["invoice_id"] for r in spark.read.parquet(str(tmp_path / "good")).collect()) == ["A", "D", "E", "F", "H"]
+    aside = {(r["invoice_id"], tuple(r["reasons"]), r["copies"]) for r in spark.read.parquet(str(tmp_path / "bad")).collect()}
+    # D's session is still open when the stream ends
+    assert aside == {("B", ("currency_form",), 1), ("C", ("amount_not_positive",), 1), ("A", ("invoice_id_repeated",), 3)}
 
 
 def test_every_oracle_has_a_query():

@@ -129,11 +129,26 @@ def test_cutting_large_cells_changes_nothing(table, cell_rows):
     assert ids(B.band_pairs(prepared, max_days=60, cell_rows=cell_rows)) == whole
 
 
-def test_large_cells_beyond_the_broadcast_bound(table, monkeypatch):
+def test_large_cells_beyond_the_broadcast_bound(spark, table):
     prepared = B.prepare(table)
     whole = ids(B.band_pairs(prepared, max_days=60, cell_rows=None))
-    monkeypatch.setattr(B, "BROADCAST_CELLS", 0)
-    assert ids(B.band_pairs(prepared, max_days=60, cell_rows=2)) == whole
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert ids(B.band_pairs(prepared, max_days=60, cell_rows=2)) == whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_blocks_of_a_census_serve_as_the_crowded_ones(table):
+    from twinbill.operators.validate import take_census
+
+    census = take_census(table, labels=True, blocks=B.BLOCKS, rows=3)
+    counted = B.crowded_blocks(B.blocked(table, tuple(B.BLOCKS)), 3)
+    assert sorted(census.crowded.collect()) == sorted(counted.collect()) != []
+    prepared = B.prepare(table)
+    whole = ids(B.band_pairs(prepared, max_days=60, cell_rows=None))
+    assert ids(B.band_pairs(prepared, max_days=60, cell_rows=3, crowded=census.crowded)) == whole
 
 
 @pytest.mark.parametrize("gap", [0.0, 0.02, 0.05, 0.5, 0.9])

@@ -26,8 +26,7 @@ BLOCKS = {"vendor": "vendor_account_id", "bank": "bank_fingerprint"}
 
 # Rows of one side of a join cell that one task should face at most.
 CELL_ROWS = 20_000
-# A list of oversize cells up to this length is small enough to broadcast.
-BROADCAST_CELLS = 100_000
+BLOCK_KEYS = ("block", "block_value", "currency")
 
 
 def prepare(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -48,7 +47,7 @@ def prepare(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ).withColumn("number_digits", digit_signature(F.col("number_norm")))
 
 
-def _blocked(rows: DataFrame, blocks: tuple[str, ...]) -> DataFrame:
+def blocked(rows: DataFrame, blocks: tuple[str, ...]) -> DataFrame:
     """One copy of each row per block it belongs to."""
     keys = [
         F.struct(F.lit(name).alias("block"), F.col(BLOCKS[name]).alias("block_value"))
@@ -57,37 +56,72 @@ def _blocked(rows: DataFrame, blocks: tuple[str, ...]) -> DataFrame:
     return rows.select("*", F.inline(F.array(*keys)))
 
 
+def day_bucket(days: int) -> Column:
+    return F.floor(F.datediff("invoice_date", F.lit("1970-01-01").cast("date")) / days)
+
+
+def amount_bucket(max_gap: float) -> Column:
+    """Amounts within the gap lie in the same or a neighbouring logarithmic bucket.
+
+    The widening keeps rounding from separating borderline pairs.
+    """
+    width = -math.log1p(-max(max_gap, 1e-6)) * (1 + 1e-6)
+    return F.floor(F.log(F.greatest(F.col("amount"), F.lit(AMOUNT_FLOOR))) / width)
+
+
+def grid(rows: DataFrame, side: str) -> DataFrame:
+    """Copies of each row for the cells of its ``cuts`` x ``cuts`` grid: one line of it for a side."""
+    cuts = F.coalesce(F.col("cuts"), F.lit(1))
+    own = F.pmod(F.xxhash64("invoice_id"), cuts)
+    others = F.explode(F.sequence(F.lit(0).cast("bigint"), cuts.cast("bigint") - 1))
+    other = "right" if side == "left" else "left"
+    return rows.withColumn(f"{side}_cut", own).withColumn(f"{other}_cut", others)
+
+
 def _side(rows: DataFrame, side: str, keys: list[str]) -> DataFrame:
     return rows.select(
         *keys, *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in keys]
     )
 
 
-def _oversize(cells: DataFrame, keys: list[str], cell_rows: int) -> DataFrame | None:
+def crowded_blocks(cells: DataFrame, rows: int) -> DataFrame:
+    """Blocks with more than ``rows`` rows; there are few blocks, so the counts collapse on the map side."""
+    counted = cells.groupBy(*BLOCK_KEYS).agg(F.count("*").alias("members"))
+    return counted.filter(F.col("members") > rows).select(*BLOCK_KEYS)
+
+
+def large_groups(
+    cells: DataFrame, keys: list[str], rows: int, crowded: DataFrame | None = None
+) -> DataFrame:
+    """Cells (by ``keys``) with more than ``rows`` rows, counted in crowded blocks only."""
+    if crowded is None:
+        crowded = materialize(crowded_blocks(cells, rows), "blocks")
+    counted = (
+        cells.join(crowded.select(*BLOCK_KEYS), list(BLOCK_KEYS), "left_semi")
+        .groupBy(*keys)
+        .agg(F.count("*").alias("members"))
+    )
+    return counted.filter(F.col("members") > rows)
+
+
+def _oversize(
+    cells: DataFrame, keys: list[str], cell_rows: int, crowded: DataFrame | None
+) -> DataFrame | None:
     """Cells with more rows than a task should face, and the cuts they need.
 
-    Whole blocks are counted first: there are few of them, so the counts
-    collapse on the map side. Only blocks above the bound can hold a large
-    cell, and only their rows are counted cell by cell.
+    Whole blocks are counted first, unless a census has done so: only blocks
+    above the bound can hold a large cell. The result is a written table, so
+    Spark broadcasts it by its size in bytes or joins it by a shuffle.
     """
-    block = [k for k in keys if k in ("block", "block_value", "currency")]
-    blocks = cells.groupBy(*block).agg(F.count("*").alias("members"))
-    crowded = materialize(blocks.filter(F.col("members") > cell_rows).select(*block), "blocks")
+    if crowded is None:
+        crowded = materialize(crowded_blocks(cells, cell_rows), "blocks")
     if crowded.isEmpty():
         return None
-    counted = (
-        cells.join(crowded, block, "left_semi").groupBy(*keys).agg(F.count("*").alias("members"))
-    )
+    found = large_groups(cells, keys, cell_rows, crowded)
     large = materialize(
-        counted.filter(F.col("members") > cell_rows).select(
-            *keys, F.ceil(F.col("members") / cell_rows).cast("int").alias("cuts")
-        ),
-        "cells",
+        found.select(*keys, F.ceil(F.col("members") / cell_rows).cast("int").alias("cuts")), "cells"
     )
-    found = large.limit(BROADCAST_CELLS + 1).count()
-    if found == 0:
-        return None
-    return F.broadcast(large) if found <= BROADCAST_CELLS else large
+    return None if large.isEmpty() else large
 
 
 def band_pairs(
@@ -99,6 +133,7 @@ def band_pairs(
     within: tuple[str, ...] = (),
     where: Column | None = None,
     cell_rows: int | None = CELL_ROWS,
+    crowded: DataFrame | None = None,
 ) -> DataFrame:
     """Unordered pairs of rows in a common block within the bands.
 
@@ -107,17 +142,13 @@ def band_pairs(
     prefixes ``left_`` and ``right_``; ``within`` names extra columns both
     sides must agree on, ``where`` an extra predicate on the pair. ``max_gap``
     below 1 adds the amount band. ``cell_rows=None`` skips the skew check,
-    which reads the keys once ahead of the join.
+    which reads the keys once ahead of the join; ``crowded`` names the blocks
+    with more than ``cell_rows`` rows where they are known already.
     """
     keys = ["block", "block_value", "currency", *within, "day_bucket"]
-    day_bucket = F.floor(F.datediff("invoice_date", F.lit("1970-01-01").cast("date")) / max_days)
-    base = _blocked(rows, blocks).withColumn("day_bucket", day_bucket)
+    base = blocked(rows, blocks).withColumn("day_bucket", day_bucket(max_days))
     if max_gap is not None and max_gap < 1:
-        # amounts within the gap lie in the same or a neighbouring log bucket;
-        # the widening keeps rounding from separating borderline pairs
-        width = -math.log1p(-max(max_gap, 1e-6)) * (1 + 1e-6)
-        level = F.floor(F.log(F.greatest(F.col("amount"), F.lit(AMOUNT_FLOOR))) / width)
-        base = base.withColumn("amount_bucket", level)
+        base = base.withColumn("amount_bucket", amount_bucket(max_gap))
         keys.append("amount_bucket")
 
     left = base.withColumn(
@@ -132,17 +163,10 @@ def band_pairs(
     if "amount_bucket" in keys:
         # a neighbouring amount bucket may crowd the right side only
         cells = cells.unionByName(right.select(*keys))
-    large = _oversize(cells, keys, cell_rows) if cell_rows else None
+    large = _oversize(cells, keys, cell_rows, crowded) if cell_rows else None
     if large is not None:
-        cuts = F.coalesce(F.col("cuts"), F.lit(1))
-        own = F.pmod(F.xxhash64("invoice_id"), cuts)
-        other = F.explode(F.sequence(F.lit(0).cast("bigint"), cuts.cast("bigint") - 1))
-        left = left.join(large, keys, "left").select(
-            *left.columns, own.alias("left_cut"), other.alias("right_cut")
-        )
-        right = right.join(large, keys, "left").select(
-            *right.columns, other.alias("left_cut"), own.alias("right_cut")
-        )
+        left = grid(left.join(large, keys, "left"), "left").drop("cuts")
+        right = grid(right.join(large, keys, "left"), "right").drop("cuts")
         keys = [*keys, "left_cut", "right_cut"]
 
     earlier = (F.col("left_invoice_date") < F.col("right_invoice_date")) | (

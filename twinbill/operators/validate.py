@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from twinbill.functions.text import strip_whitespace
 from twinbill.schema import INVOICE_COLUMNS, LABEL_COLUMNS, STRICT_AMOUNT
+from twinbill.session import materialize
 
 # Length limits, amount ceiling and currency form of the contract.
 ID_LENGTH = 80
@@ -24,6 +27,7 @@ TIMESTAMP_FORM = (
     rf"\A\d{{4}}-\d{{2}}-\d{{2}}([T ]{_HOUR}:{_MINUTE}(:{_MINUTE}(\.\d+)?)?(Z|[+-]{_HOUR}:?{_MINUTE})?)?\z"
 )
 
+_ID = "id"
 _IDENTIFIERS = ("invoice_id", "vendor_account_id", "invoice_number", "bank_fingerprint")
 _NO_CONTROL = ("invoice_id", "vendor_account_id", "bank_fingerprint")
 
@@ -64,7 +68,8 @@ def as_date(value: Column, form: str = TIMESTAMP_FORM) -> Column:
     return F.when(text.rlike(form), F.left(text, F.lit(10)).try_cast("date"))
 
 
-def _checks(labels: bool) -> dict[str, Column]:
+def _faults(labels: bool) -> dict[str, Column]:
+    """The table rules that a row breaks by itself; the first one needs more than the row."""
     required = [*INVOICE_COLUMNS, *(["group_id"] if labels else [])]
     amount = F.col("amount").try_cast("double")
     any_null = F.lit(False)
@@ -74,45 +79,99 @@ def _checks(labels: bool) -> dict[str, Column]:
         amount.isNull() | F.isnan(amount) | (F.abs(amount) == float("inf"))
     )
     return {
-        "rows": F.count("*"),
-        "bad_amounts": F.count_if((amount <= 0) | not_a_number),
-        "rows_with_null": F.count_if(any_null),
-        "bad_dates": F.count_if(as_date(F.col("invoice_date")).isNull()),
+        "bad_amounts": F.coalesce((amount <= 0) | not_a_number, F.lit(False)),
+        "rows_with_null": any_null,
+        "bad_dates": as_date(F.col("invoice_date")).isNull(),
     }
 
 
 def check_profile(df: DataFrame, labels: bool) -> DataFrame:
     """One row with what the table-level rules need, without a shuffle of rows."""
-    return df.agg(*[check.alias(name) for name, check in _checks(labels).items()])
+    checks = {name: F.count_if(fault) for name, fault in _faults(labels).items()}
+    return df.agg(F.count("*").alias("rows"), *[c.alias(name) for name, c in checks.items()])
+
+
+@dataclass(frozen=True)
+class Census:
+    """What one scan tells of an invoice table: the profile of the table rules, the ids that occur more than
+    once, and the blocks with more rows than asked for."""
+
+    profile: Row
+    repeated: DataFrame
+    crowded: DataFrame
 
 
-def check_ids_and_profile(df: DataFrame, labels: bool) -> DataFrame:
-    """The profile and the largest number of rows with one id, in one pass.
+def take_census(df: DataFrame, labels: bool, blocks: dict[str, str] | None = None, rows: int = 0) -> Census:
+    """Profile, repeated ids and crowded blocks in one pass over ``df``.
 
-    Every id sends one row of counts; the totals come from those.
+    A row sends a 64-bit hash of its id and its faults, and the value of each
+    block it belongs to; both are summed on the map side first. What occurs
+    once (or in up to ``rows`` rows) is folded into one row for each kind, so only hashes that
+    occur twice and large blocks come out. An id is looked at as text only if
+    its hash occurs twice, which rules out false alarms.
     """
-    checks = _checks(labels)
-    by_id = df.groupBy("invoice_id").agg(*[check.alias(name) for name, check in checks.items()])
-    return by_id.agg(
-        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in checks],
-        F.coalesce(F.max("rows"), F.lit(0)).alias("copies"),
+    faults = {name: fault.cast("int") for name, fault in _faults(labels).items()}
+    text = F.lit(None).cast("string")
+
+    def entry(kind: str, digest: Column, value: Column, currency: Column, counted: bool) -> Column:
+        return F.struct(
+            F.lit(kind).alias("block"),
+            digest.alias("digest"),
+            value.alias("block_value"),
+            currency.alias("currency"),
+            *[(fault if counted else F.lit(0)).alias(name) for name, fault in faults.items()],
+        )
+
+    entries = [entry(_ID, F.xxhash64("invoice_id"), text, text, True)]
+    for name, column in (blocks or {}).items():
+        value, currency = F.col(column).cast("string"), F.col("currency").cast("string")
+        entries.append(entry(name, F.lit(None).cast("bigint"), value, currency, False))
+    keys = ["block", "digest", "block_value", "currency"]
+    counted = (
+        df.select(F.inline(F.array(*entries)))
+        .groupBy(*keys)
+        .agg(F.count("*").alias("rows"), *[F.sum(name).alias(name) for name in faults])
+    )
+    stands_out = F.when(F.col("block") == _ID, F.col("rows") > 1).otherwise(F.col("rows") > rows)
+    folded = [F.when(F.col("stands_out"), F.col(k)).alias(k) for k in keys[1:]]
+    found = materialize(
+        counted.withColumn("stands_out", stands_out)
+        .groupBy("block", "stands_out", *folded)
+        .agg(*[F.sum(name).alias(name) for name in ("rows", *faults)]),
+        "census",
+    )
+    ids = found.where(F.col("block") == _ID)
+    profile = ids.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in ("rows", *faults)]).first()
+    twice = ids.where("stands_out").select("digest")
+    suspects = df.select("invoice_id", F.xxhash64("invoice_id").alias("digest")).join(twice, "digest", "left_semi")
+    crowded = found.where((F.col("block") != _ID) & F.col("stands_out"))
+    return Census(
+        profile,
+        # nothing to look for, nothing read
+        duplicate_ids(suspects) if not twice.isEmpty() else duplicate_ids(twice.select(text.alias("invoice_id"))),
+        crowded.select("block", "block_value", "currency"),
     )
 
 
-def validate(df: DataFrame, labels: bool = False) -> None:
-    """Raise on the first broken rule, in the documented order."""
-    require_columns(df, labels)
-    seen = check_ids_and_profile(df, labels).first()
+def raise_broken(census: Census) -> None:
+    """Raise on the first broken table rule, in the documented order."""
+    seen = census.profile
     if seen["rows"] == 0:
-        raise ValueError("invoice data must not be empty")
-    if seen["copies"] > 1:
-        raise ValueError("invoice_id values must be unique")
+        raise ValueError("the invoice table is empty")
+    if not census.repeated.isEmpty():
+        raise ValueError("every invoice_id has to be unique")
     if seen["bad_amounts"] > 0:
-        raise ValueError("amount values must be positive numbers")
+        raise ValueError("amounts have to be positive numbers")
     if seen["rows_with_null"] > 0:
-        raise ValueError("required fields must not contain null values")
+        raise ValueError("a required field is null")
     if seen["bad_dates"] > 0:
-        raise ValueError("invoice_date must contain valid ISO dates")
+        raise ValueError("invoice dates have to be ISO dates")
+
+
+def validate(df: DataFrame, labels: bool = False) -> None:
+    """Raise on the first broken rule, in the documented order."""
+    require_columns(df, labels)
+    raise_broken(take_census(df, labels))
 
 
 def typed(df: DataFrame, strict: bool = False) -> DataFrame:
