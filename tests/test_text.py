@@ -112,3 +112,59 @@ def test_similarity_column_settles_equal_and_empty_texts(spark):
     for (left, right, expected), row in zip(rows, got):
         assert row["s"] == expected == SequenceMatcher(None, left, right).ratio()
         assert row["u"] >= row["s"]
+
+
+def test_multiset_bound_holds_and_is_tighter(spark):
+    import random
+
+    from twinbill.functions.similarity import marks, multiset_bound
+
+    rng = random.Random(5)
+    letters = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = ["", "A", "9", "INV100", "0" * 40, "9" * 30 + "Z" * 30, letters, letters[::-1] * 2]
+    texts += ["".join(rng.choices(letters[: rng.choice([2, 12, 36])], k=rng.randint(0, 60))) for _ in range(60)]
+    rows = [(x, y) for x in texts for y in texts]
+    df = spark.createDataFrame(rows, "a string, b string").withColumns(
+        {side: marks(F.col(name)) for side, name in (("ma", "a"), ("mb", "b"))}
+    )
+    a, b, ma, mb = (F.col(c) for c in ("a", "b", "ma", "mb"))
+    digits = [F.regexp_replace(c, "[^0-9]", "") for c in (a, b)]
+    got = df.select(
+        "a", "b",
+        multiset_bound(a, b, ma, mb).alias("u"),
+        multiset_bound(*digits, ma, mb, digits_only=True).alias("d"),
+        similarity_bound(a, b).alias("length"),
+    ).collect()
+    from collections import Counter
+    from difflib import SequenceMatcher
+
+    def shared(x, y):
+        return 2 * sum((Counter(x) & Counter(y)).values()) / (len(x) + len(y)) if x or y else 1.0
+
+    for r in got:
+        x, y = ("".join(c for c in t if c.isdigit()) for t in (r["a"], r["b"]))
+        assert r["u"] >= shared(r["a"], r["b"]) - 1e-12 and r["d"] >= shared(x, y) - 1e-12
+        assert r["u"] >= SequenceMatcher(None, r["a"], r["b"]).ratio() - 1e-12
+        if max(Counter(r["a"] + r["b"]).values(), default=0) <= 7:
+            assert abs(r["u"] - shared(r["a"], r["b"])) < 1e-12 and r["u"] <= r["length"] + 1e-12
+
+
+def test_fewer_pairs_reach_the_udf(ledger):
+    from tests.test_model import MODEL
+    from twinbill.functions.similarity import similarity_bound as by_length
+    from twinbill.operators import blocking as B
+    from twinbill.operators import scoring as SC
+
+    pairs = B.band_pairs(B.prepare(ledger), max_days=60)
+    after = pairs.filter(SC.may_reach(MODEL)).count()
+
+    def length_only(name):
+        return by_length(F.col(f"left_{name}"), F.col(f"right_{name}"))
+
+    tight, SC.text_bound = SC.text_bound, length_only
+    try:
+        before = pairs.filter(SC.may_reach(MODEL)).count()
+    finally:
+        SC.text_bound = tight
+    assert after < 0.8 * before
+    print(f"pairs that reach the similarity: {before} before, {after} after")

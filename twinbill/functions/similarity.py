@@ -12,6 +12,7 @@ the standard library.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,3 +152,52 @@ def similarity_bound(left: Column, right: Column) -> Column:
     """Native upper bound of ``similarity``: the shorter text fully matched."""
     a, b = F.length(left), F.length(right)
     return F.when(a + b == 0, 1.0).otherwise(2.0 * F.least(a, b) / (a + b))
+
+
+# Characters of normalised text, nine to a long; a count of up to seven is that many bits.
+_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PER_LONG, _BITS = 9, 7
+
+
+def marks(text: Column) -> Column:
+    """How often a normalised text holds each character, in a form whose overlap is a bit count.
+
+    Counts are unary, so the bits two texts share are the smaller counts. What
+    a character has beyond seven is added up, digits and letters apart.
+    """
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in _ALPHABET]
+
+    def word(at: int) -> Column:
+        parts = [
+            F.shiftleft(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(n, F.lit(_BITS))) - 1, _BITS * k)
+            for k, n in enumerate(counts[at : at + _PER_LONG])
+        ]
+        return reduce(lambda a, b: a.bitwiseOR(b), parts)
+
+    def beyond(some: list[Column]) -> Column:
+        return reduce(lambda a, b: a + b, [F.greatest(n - _BITS, F.lit(0)) for n in some])
+
+    words = [word(at).alias(f"w{at // _PER_LONG}") for at in range(0, len(_ALPHABET), _PER_LONG)]
+    return F.struct(*words, beyond(counts[:10]).alias("digits_beyond"), beyond(counts[10:]).alias("letters_beyond"))
+
+
+def _shared(a: Column, b: Column, word: str, mask: int | None = None) -> Column:
+    both = a[word].bitwiseAND(b[word])
+    return F.bit_count(both if mask is None else both.bitwiseAND(F.lit(mask).cast("bigint")))
+
+
+def multiset_bound(left: Column, right: Column, a: Column, b: Column, digits_only: bool = False) -> Column:
+    """Native upper bound of ``similarity``: no more characters match than both texts hold.
+
+    ``a`` and ``b`` are the marks of the texts, or of the texts whose digits
+    they are: with ``digits_only`` other characters do not count.
+    """
+    beyond = F.least(a["digits_beyond"], b["digits_beyond"])
+    if digits_only:
+        # nine digits fill the first word, the tenth is the first of the second
+        shared = _shared(a, b, "w0") + _shared(a, b, "w1", (1 << _BITS) - 1) + beyond
+    else:
+        shared = reduce(lambda x, y: x + y, [_shared(a, b, f"w{k}") for k in range(4)])
+        shared = shared + beyond + F.least(a["letters_beyond"], b["letters_beyond"])
+    length = F.length(left) + F.length(right)
+    return F.when(length == 0, 1.0).otherwise(2.0 * shared / length)

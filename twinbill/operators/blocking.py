@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinbill.functions.pairmath import AMOUNT_FLOOR, amount_gap, same_group
-from twinbill.functions.similarity import similarity, similarity_bound
+from twinbill.functions.similarity import marks, multiset_bound, similarity
 from twinbill.functions.text import digit_signature, normalize_identifier
 from twinbill.operators.validate import label_columns
 from twinbill.params import TriageParams
@@ -44,7 +44,13 @@ def prepare(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         normalize_identifier(F.col("description")).alias("description_norm"),
         *label_columns(df),
         *keep,
-    ).withColumn("number_digits", digit_signature(F.col("number_norm")))
+    ).withColumns(
+        {
+            "number_digits": digit_signature(F.col("number_norm")),
+            "number_marks": marks(F.col("number_norm")),
+            "description_marks": marks(F.col("description_norm")),
+        }
+    )
 
 
 def blocked(rows: DataFrame, blocks: tuple[str, ...]) -> DataFrame:
@@ -196,10 +202,24 @@ def amount_close(params: TriageParams) -> Column:
     )
 
 
+# Texts that are compared, the marks that bound their similarity, and whether only digits of those count.
+BOUNDS = {
+    "number_norm": ("number_marks", False),
+    "number_digits": ("number_marks", True),
+    "description_norm": ("description_marks", False),
+}
+
+
+def text_bound(name: str) -> Column:
+    """Native upper bound of the similarity of both sides' ``name``."""
+    of, digits_only = BOUNDS[name]
+    columns = [F.col(f"{side}_{c}") for c in (name, of) for side in ("left", "right")]
+    return multiset_bound(*columns, digits_only)
+
+
 def reachable(params: TriageParams) -> Column:
     """Native test that keeps every pair the amount-or-number rule can keep."""
-    bound = similarity_bound(F.col("left_number_norm"), F.col("right_number_norm"))
-    return amount_close(params) | (bound >= params.min_invoice_similarity)
+    return amount_close(params) | (text_bound("number_norm") >= params.min_invoice_similarity)
 
 
 def with_label(pairs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinbill.functions import pairmath as M
-from twinbill.functions.similarity import similarity_bound
+from twinbill.operators.blocking import text_bound
 from twinbill.operators.features import COMPARED, exact_signature, native_features, sides
 from twinbill.params import TriageParams
 from twinbill.schema import FEATURE_NAMES
@@ -153,7 +153,7 @@ def may_reach(model: Model) -> Column:
         if name in COMPARED:
             left, right = sides(COMPARED[name])
             if coefficient >= 0:
-                features[name] = similarity_bound(left, right)
+                features[name] = F.when(left == right, 1.0).otherwise(text_bound(COMPARED[name]))
             else:
                 features[name] = F.when(left == right, 1.0).otherwise(0.0)
     return margin(model, features) >= threshold_margin(model)
