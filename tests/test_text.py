@@ -168,3 +168,24 @@ def test_fewer_pairs_reach_the_udf(ledger):
         SC.text_bound = tight
     assert after < 0.8 * before
     print(f"pairs that reach the similarity: {before} before, {after} after")
+
+
+def test_block_matching_in_groups(monkeypatch):
+    """Many pairs of mixed lengths and alphabets, in one group and in many; edited copies among them."""
+    from twinbill.functions import block_matching as BM
+
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(150):
+        alphabet = rng.choice(["AB", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "åäö中文字🙂 ab", "".join(map(chr, range(100, 700)))])
+        a, b = ("".join(rng.choices(alphabet, k=rng.choice([0, 1, 30, 199, 200, 201, 450]))) for _ in range(2))
+        if rng.random() < 0.5 and a:
+            cut = rng.randrange(len(a))
+            b = a[cut:] + rng.choice(alphabet) + a[:cut]
+        pairs.append((a, b))
+    expected = [sum(m.size for m in SequenceMatcher(None, *p).get_matching_blocks()) for p in pairs]
+    left, right = ([p[k] for p in pairs] for k in (0, 1))
+    for size in (1, 1000, 1 << 20):
+        monkeypatch.setattr(BM, "GROUP", size)
+        assert BM.matched_characters(left, right).tolist() == expected
+    assert BM.matched_characters([], []).tolist() == []

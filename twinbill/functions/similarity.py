@@ -5,13 +5,11 @@ longest common block (earliest in the left text, then earliest in the right)
 and repeats on both sides of it. The measure depends on argument order.
 
 Spark has no such function. The UDF works on whole Arrow batches: short ASCII
-texts are compared together as byte matrices, anything else one by one with
-the standard library.
+texts are compared together as byte matrices, all others by ``block_matching``.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 from functools import reduce
 
 import numpy as np
@@ -20,10 +18,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# From this right-hand length on the standard library ignores popular
-# characters, so those rows are left to it. It also keeps every code below
-# within 8 bits.
-_LONG = 200
+from twinbill.functions.block_matching import LONG, matched_characters
+
+# From this right-hand length on popular characters are ignored, which byte
+# matrices do not know. It also keeps every code below within 8 bits.
+_LONG = LONG
 _CELLS = 1 << 17
 
 
@@ -117,12 +116,14 @@ def ratios(left: pa.Array, right: pa.Array) -> np.ndarray:
         b = _window(buf_b, start_b[part], lb[part], 255)
         out[part] = 2.0 * _matched(a, la[part], b, lb[part]) / (la[part] + lb[part])
 
-    seen: dict[tuple[str, str], float] = {}
-    for at in np.flatnonzero(known & ~short):
-        pair = (left[at].as_py(), right[at].as_py())
-        if pair not in seen:
-            seen[pair] = SequenceMatcher(None, *pair).ratio()
-        out[at] = seen[pair]
+    rest = np.flatnonzero(known & ~short)
+    if rest.size:
+        pairs = list(zip(left.take(pa.array(rest)).to_pylist(), right.take(pa.array(rest)).to_pylist(), strict=True))
+        distinct = {pair: k for k, pair in enumerate(dict.fromkeys(pairs))}
+        texts = [[pair[k] for pair in distinct] for k in (0, 1)]
+        length = np.array([len(x) + len(y) for x, y in distinct])
+        ratio = np.where(length == 0, 1.0, 2.0 * matched_characters(*texts) / np.maximum(length, 1))
+        out[rest] = ratio[[distinct[pair] for pair in pairs]]
     return out
 
 
