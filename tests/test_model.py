@@ -72,10 +72,41 @@ def test_evaluation_of_a_perfect_ranking(spark):
     assert row["f1"] == row["average_precision"] == row["roc_auc"] == 1.0
 
 
-@pytest.mark.parametrize("per_bin", [2_000_000, 40, 7])
-def test_ranking_equals_brute_force(spark, monkeypatch, per_bin):
+@pytest.fixture(params=[1, 4, 40])
+def range_count(spark, request):
+    """Range partitions of exactly that number."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in zip(names, (request.param, "false"), strict=True):
+        spark.conf.set(name, value)
+    yield request.param
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_places_and_running_totals(spark, range_count):
+    from twinbill.operators.ranges import in_order, laid_out, running_totals, with_place
+
+    rng = random.Random(8)
+    rows = [(k, rng.randint(0, 30), rng.choice([1, 5, None])) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, score int, n long").repartition(7)
+    order = (F.desc("score"), F.col("id").asc())
+    expected = sorted(rows, key=lambda r: (-r[1], r[0]))
+    placed = with_place(in_order(df, *order)).collect()
+    assert [r["id"] for r in sorted(placed, key=lambda r: r["place"])] == [r[0] for r in expected]
+    assert sorted(r["place"] for r in placed) == list(range(1, 301))
+    total, sums = 0, {}
+    for i, _, n in expected:
+        total += n or 0
+        sums[i] = total
+    assert {r["id"]: r["t"] for r in running_totals(in_order(df, *order), t="n").collect()} == sums
+    lying = with_place(laid_out(df.orderBy(*order))).collect()
+    assert [r["id"] for r in sorted(lying, key=lambda r: r["place"])] == [r[0] for r in expected]
+    assert with_place(in_order(df.limit(0), *order)).isEmpty()
+
+
+def test_ranking_equals_brute_force(spark, range_count):
     """With one score range and with many, ties included."""
-    monkeypatch.setattr(X, "SCORES_PER_BIN", per_bin)
     rng = random.Random(4)
     p = [round(rng.random(), 2) for _ in range(500)]
     y = [int(rng.random() < v) for v in p]

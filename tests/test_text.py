@@ -189,3 +189,21 @@ def test_block_matching_in_groups(monkeypatch):
         monkeypatch.setattr(BM, "GROUP", size)
         assert BM.matched_characters(left, right).tolist() == expected
     assert BM.matched_characters([], []).tolist() == []
+
+
+def test_fold_of_every_code_point_without_python(spark):
+    import unicodedata
+
+    def fold(text):
+        base = (c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        return "".join(base).upper()
+
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = [(k, "".join(points[k : k + 64])) for k in range(0, len(points), 64)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = df.select("t", ascii_upper(F.col("t")).alias("u"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    for r in got.collect():
+        assert r["u"] == fold(r["t"])
+    assert spark.range(1).select(ascii_upper(F.lit(None).cast("string")).alias("u")).first()["u"] is None

@@ -5,10 +5,8 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _fold(text: str) -> str:
@@ -17,9 +15,36 @@ def _fold(text: str) -> str:
     return "".join(base).upper()
 
 
-@F.pandas_udf(T.StringType())
-def _fold_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(_fold, na_action="ignore")
+# Characters beyond these planes have no decomposition.
+_FOLDED_RANGES = ((0x61, 0x7B), (0x80, 0xD800), (0xE000, 0x20000), (0x2F800, 0x2FA20))
+# Private characters that no folded text holds, as separators of a list of images.
+_NEXT, _GIVES = "\ue000", "\ue001"
+
+
+@lru_cache(maxsize=1)
+def _fold_tables() -> tuple[str, str, str, str]:
+    """The fold of every character that changes: (characters, their one-character images followed by nothing
+    for marks, characters with longer images, these images as a list).
+
+    Folding works character by character, so the tables follow from the
+    Unicode rule itself.
+    """
+    single, gone, longer = {}, [], {}
+    for low, high in _FOLDED_RANGES:
+        for code in range(low, high):
+            ch = chr(code)
+            image = _fold(ch)
+            if image == ch:
+                continue
+            if len(image) == 1:
+                single[ch] = image
+            elif image:
+                longer[ch] = image
+            else:
+                gone.append(ch)
+    listed = _NEXT.join(f"{ch}{_GIVES}{image}" for ch, image in longer.items())
+    # what has no image stands last: translate removes it
+    return "".join([*single, *gone]), "".join(single.values()), "".join(longer), listed
 
 
 def is_ascii(text: Column) -> Column:
@@ -27,14 +52,19 @@ def is_ascii(text: Column) -> Column:
 
 
 def ascii_upper(text: Column) -> Column:
-    """Accent-free upper case.
+    """Accent-free upper case: the compatibility decomposition without combining marks.
 
-    Spark has no compatibility decomposition, so rows with non-ASCII text go
-    through Arrow; ASCII rows reach the Python side only as NULLs.
+    Marks go and characters with a one-character image are replaced in one
+    pass; each distinct character left that has a longer image is spelled out.
     """
-    return F.when(is_ascii(text), F.upper(text)).otherwise(
-        _fold_udf(F.when(~is_ascii(text), text))
-    )
+    source, images, spelled_out, listed = _fold_tables()
+    folded = F.translate(text, source, images)
+    table = F.str_to_map(F.lit(listed), F.lit(_NEXT), F.lit(_GIVES))
+    # few texts hold such a character; for the others nothing below is looked up
+    rest = F.array_distinct(F.split(F.regexp_replace(folded, r"[\x00-\x7F]+", ""), ""))
+    rest = F.filter(rest, lambda ch: (ch != "") & F.contains(F.lit(spelled_out), ch))
+    spelled = F.aggregate(rest, folded, lambda done, ch: F.replace(done, ch, table[ch]))
+    return F.when(is_ascii(text), F.upper(text)).when(is_ascii(folded), folded).otherwise(spelled)
 
 
 @lru_cache(maxsize=1)

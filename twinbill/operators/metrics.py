@@ -6,14 +6,10 @@ Inputs carry ``label`` (0/1) and, as needed, ``prediction`` (0/1),
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinbill.session import materialize
-
-# Distinct scores one task should accumulate at most.
-SCORES_PER_BIN = 2_000_000
+from twinbill.operators.ranges import in_order, running_totals
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -86,44 +82,9 @@ def score_counts(scored: DataFrame) -> DataFrame:
     )
 
 
-def _score_bins(counts: DataFrame) -> DataFrame:
-    """Adds ``bin``: score ranges of bounded size, in score order.
-
-    A running total over all scores would pass through one task. Quantiles of
-    the distinct scores cut them into ranges that tasks accumulate on their
-    own; only one total per range is carried over.
-    """
-    counts = materialize(counts, "scores")  # counted, cut and accumulated below
-    parts = -(-counts.count() // SCORES_PER_BIN)
-    if parts <= 1:
-        return counts.withColumn("bin", F.lit(0.0))
-    shares = [i / parts for i in range(1, parts)]
-    ends = counts.agg(F.percentile_approx("probability", shares, max(10_000, 10 * parts))).first()
-    edges = [-float("inf"), *sorted(set(ends[0])), float("inf")]
-    return Bucketizer(splits=edges, inputCol="probability", outputCol="bin").transform(counts)
-
-
 def running_counts(scored: DataFrame) -> DataFrame:
     """Per distinct score: own counts and those of all scores at or above it."""
-    binned = _score_bins(score_counts(scored))
-    above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = binned.groupBy("bin").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
-        "bin",
-        F.coalesce(F.sum("p").over(above), F.lit(0)).alias("pos_before"),
-        F.coalesce(F.sum("n").over(above), F.lit(0)).alias("neg_before"),
-    )
-    within = (
-        Window.partitionBy("bin")
-        .orderBy(F.desc("probability"))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return binned.join(carried, "bin").select(
-        "probability",
-        "pos",
-        "neg",
-        (F.sum("pos").over(within) + F.col("pos_before")).alias("cum_pos"),
-        (F.sum("neg").over(within) + F.col("neg_before")).alias("cum_neg"),
-    )
+    return running_totals(in_order(score_counts(scored), F.desc("probability")), cum_pos="pos", cum_neg="neg")
 
 
 def ranking_metrics(scored: DataFrame) -> DataFrame:
