@@ -474,6 +474,11 @@ def sample_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialize(ledger(spark, sf_dir), "ledger")
+    return materialize(S.temporal_split(rows), "split")
+
+
 def model_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed model with means and scales of the ledger's pairs, saved, verified and loaded."""
     path = scratch_path(spark, "model")
@@ -521,7 +526,7 @@ def logistic_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trained_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient of the penalised loss at the fitted parameters: nothing is left of it."""
-    rows = materialize(S.temporal_split(ledger(spark, sf_dir)), "split")
+    rows = _split(spark, sf_dir)
     train = materialize(pair_features(rows.filter("split = 'train'"), PARAMS), "features")
     model = LG.fit(train)
     weights = LG.class_weights(train)
@@ -578,7 +583,7 @@ def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(S.temporal_split(ledger(spark, sf_dir)), "split")
+    rows = _split(spark, sf_dir)
     return X.pair_counts(pair_features(rows, PARAMS, within=("split",)))
 
 
@@ -680,7 +685,7 @@ def recall_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters fitted on the training split, stored and loaded back."""
-    rows = materialize(S.temporal_split(ledger(spark, sf_dir)), "split")
+    rows = _split(spark, sf_dir)
     pairs = pair_features(rows.filter("split = 'train'"), PARAMS)
     path = scratch_path(spark, "model")
     save_model(spark, LG.fit(materialize(pairs, "features")), path)
@@ -688,7 +693,7 @@ def train_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_model_mllib(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(S.temporal_split(ledger(spark, sf_dir)), "split")
+    rows = _split(spark, sf_dir)
     pairs = pair_features(rows.filter("split = 'train'"), PARAMS)
     return parameter_rows(spark, LG.fit(materialize(pairs, "features"), solver="mllib"))
 

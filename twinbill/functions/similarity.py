@@ -87,6 +87,17 @@ def _matched(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np
     return total
 
 
+def _distinct(left: pa.Array, right: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of ``rows`` with each pair of texts, and for each of ``rows`` the one with its pair."""
+    if not rows.size:
+        return rows, rows
+    at = pa.array(rows)
+    a, b = (side.take(at).dictionary_encode() for side in (left, right))
+    key = a.indices.to_numpy().astype(np.int64) * len(b.dictionary) + b.indices.to_numpy()
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    return rows[first], rows[first][inverse]
+
+
 def ratios(left: pa.Array, right: pa.Array) -> np.ndarray:
     """Similarity of two equally long Arrow text arrays; NaN where NULL."""
     out = np.full(len(left), np.nan)
@@ -104,7 +115,9 @@ def ratios(left: pa.Array, right: pa.Array) -> np.ndarray:
 
     out[short & (la + lb == 0)] = 1.0
     out[short & (la + lb > 0) & ((la == 0) | (lb == 0))] = 0.0
-    todo = np.flatnonzero(short & (la > 0) & (lb > 0))
+    every = np.flatnonzero(short & (la > 0) & (lb > 0))
+    # texts repeat in many pairs; each pair of texts is compared once
+    todo, again = _distinct(left, right, every)
     todo = todo[np.argsort(np.maximum(la[todo], lb[todo]), kind="stable")]
     at = 0
     while at < todo.size:
@@ -116,6 +129,9 @@ def ratios(left: pa.Array, right: pa.Array) -> np.ndarray:
         b = _window(buf_b, start_b[part], lb[part], 255)
         out[part] = 2.0 * _matched(a, la[part], b, lb[part]) / (la[part] + lb[part])
 
+    if every.size:
+        out[every] = out[again]
+
     rest = np.flatnonzero(known & ~short)
     if rest.size:
         pairs = list(zip(left.take(pa.array(rest)).to_pylist(), right.take(pa.array(rest)).to_pylist(), strict=True))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinbill.operators.ranges import in_order, running_totals
+from twinbill.session import materialize
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -75,24 +76,38 @@ def recall_by_type(scored: DataFrame) -> DataFrame:
     )
 
 
-def score_counts(scored: DataFrame) -> DataFrame:
-    """Positives and negatives per distinct score."""
-    return scored.groupBy("probability").agg(
+def score_counts(scored: DataFrame, *by: str) -> DataFrame:
+    """Positive and negative pairs per distinct score."""
+    return scored.groupBy(*by, "probability").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
 
 
-def running_counts(scored: DataFrame) -> DataFrame:
-    """Per distinct score: own counts and those of all scores at or above it."""
-    return running_totals(in_order(score_counts(scored), F.desc("probability")), cum_pos="pos", cum_neg="neg")
+def running_counts(scored: DataFrame, *by: str) -> DataFrame:
+    """Per distinct score (of each ``by``): own counts and those of all scores at or above it."""
+    order = [*[F.asc(name) for name in by], F.desc("probability")]
+    table = running_totals(in_order(score_counts(scored, *by), *order), cum_pos="pos", cum_neg="neg")
+    if not by:
+        return table
+    # totals run on over the groups; each begins with what was there before it
+    table = materialize(table, "scores")
+    begins = table.groupBy(*by).agg(
+        F.min(F.col("cum_pos") - F.col("pos")).alias("pos_before"),
+        F.min(F.col("cum_neg") - F.col("neg")).alias("neg_before"),
+    )
+    return (
+        table.join(begins, list(by))
+        .withColumns({f"cum_{k}": F.col(f"cum_{k}") - F.col(f"{k}_before") for k in ("pos", "neg")})
+        .drop("pos_before", "neg_before")
+    )
 
 
-def ranking_metrics(scored: DataFrame) -> DataFrame:
-    """Step-wise average precision and ROC area, tied scores taken together."""
+def ranking_metrics(scored: DataFrame, *by: str) -> DataFrame:
+    """Step-wise average precision and ROC area (of each ``by``), tied scores taken together."""
     pos, neg = F.col("pos"), F.col("neg")
     step = pos * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
     # negatives below a score = all negatives minus those at or above it
-    sums = running_counts(scored).agg(
+    sums = running_counts(scored, *by).groupBy(*by).agg(
         F.sum("pos").alias("p"),
         F.sum("neg").alias("n"),
         F.sum(step).alias("steps"),
@@ -100,6 +115,7 @@ def ranking_metrics(scored: DataFrame) -> DataFrame:
     )
     p, n = F.col("p"), F.col("n")
     return sums.select(
+        *by,
         F.when(p > 0, F.col("steps") / p).otherwise(0.0).alias("average_precision"),
         F.when((p > 0) & (n > 0), 1 - F.col("misordered") / (p * n)).alias("roc_auc"),
     )
@@ -118,6 +134,25 @@ def evaluate(scored: DataFrame) -> DataFrame:
     return _beside(ranking_metrics(scored), confusion_matrix(scored))
 
 
+def evaluate_judges(scored: DataFrame, judges: dict[str, tuple[Column, Column]], review_cost: float) -> DataFrame:
+    """Ranking metrics, rates, confusion counts and costs of several judges of the same pairs, one row for each.
+
+    ``judges`` names the (probability, prediction) of each. All of them share one
+    pass for counts and costs and one for the ranking.
+    """
+    verdicts = F.array(
+        *[
+            F.struct(F.lit(name).alias("judge"), score.cast("double").alias("probability"), call.alias("prediction"))
+            for name, (score, call) in judges.items()
+        ]
+    )
+    judged = scored.select("label", "exposure", F.inline(verdicts))
+    names = ["review_rate", "duplicate_value_capture", "expected_control_cost"]
+    costs = [column.alias(name) for name, column in zip(names, operational(review_cost), strict=True)]
+    counts = with_rates(judged.groupBy("judge").agg(*confusion_counts(), *costs))
+    return counts.join(ranking_metrics(judged, "judge"), "judge")
+
+
 def _beside(*rows: DataFrame) -> DataFrame:
     """Columns of several one-row tables in one row."""
     names = [c for row in rows for c in row.columns]

@@ -259,7 +259,12 @@ def null_cells(df: DataFrame) -> Column:
 
 
 def quality_profile(df: DataFrame) -> DataFrame:
-    """Scalar profile of a labelled ledger, one row.
+    """Scalar profile of a labelled ledger, one row."""
+    return profile_and_groups(df).drop("groups")
+
+
+def profile_and_groups(df: DataFrame) -> DataFrame:
+    """``quality_profile`` and the number of groups.
 
     Ids and groups are reduced to one row each before they are counted, so
     only (id, partial sums) and (group, size) travel, in one pass each.
@@ -272,11 +277,13 @@ def quality_profile(df: DataFrame) -> DataFrame:
         F.min("invoice_date").alias("date_min"),
         F.max("invoice_date").alias("date_max"),
     )
-    groups = group_sizes(df).agg(F.count_if(F.col("records") > 1).alias("duplicate_groups"))
+    groups = group_sizes(df).agg(
+        F.count_if(F.col("records") > 1).alias("duplicate_groups"), F.count("*").alias("groups")
+    )
     parts = scalars.unionByName(groups, True)
     names = [
         "rows", "unique_invoice_ids", "null_cells", "non_positive_amounts",
-        "date_min", "date_max", "duplicate_groups",
+        "date_min", "date_max", "duplicate_groups", "groups",
     ]
     return parts.agg(*[F.max(name).alias(name) for name in names])
 
