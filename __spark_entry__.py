@@ -683,6 +683,18 @@ def recall_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(X.recall_by_type(_judged(spark, sf_dir)), 9, "recall")
 
 
+def report_fixed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split, pairs of the test split, fixed model and exact rule beside each other: ranking, rates and costs."""
+    test = _split(spark, sf_dir).filter("split = 'test'")
+    scored = materialize(score(pair_features(test, PARAMS, within=("split",)), FIXED_MODEL), "scored")
+    at_threshold = (F.col("probability") >= FIXED_MODEL.threshold).cast("int")
+    judges = {"model": (F.col("probability"), at_threshold), "baseline": (exact_baseline(), exact_baseline())}
+    table = X.evaluate_judges(scored, judges, PARAMS.false_positive_review_cost)
+    table = _rounded(table, 6, "average_precision", "roc_auc")
+    table = _rounded(table, 9, "precision", "recall", "f1", "review_rate", "duplicate_value_capture")
+    return _rounded(table, 2, "expected_control_cost")
+
+
 def train_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters fitted on the training split, stored and loaded back."""
     rows = _split(spark, sf_dir)
@@ -846,6 +858,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evaluate_baseline": evaluate_baseline,
     "operational_metrics": operational_metrics,
     "recall_by_type": recall_by_type,
+    "report_fixed_model": report_fixed_model,
     "train_model": train_model,
     "train_model_mllib": train_model_mllib,
     "evaluation_report": evaluation_report,

@@ -721,6 +721,34 @@ WHERE position <= 60""",
     + 50.0 * count(*) FILTER (label = 0 AND prediction = 1), 2) AS expected_control_cost
 FROM scored""",
     ),
+    "report_fixed_model": _with(
+        PREPARED
+        + SPLIT
+        + ", parted AS (SELECT prepared.*, split FROM prepared JOIN assigned USING (group_id) WHERE split = 'test')"
+        + _blocked("parted", ("split",))
+        + SIMILARITY
+        + _features()
+        + f""",
+rated AS (SELECT *, 1.0 / (1.0 + exp(-({_margin(FEATURES, INTERCEPT)}))) AS probability FROM features),
+scored AS (
+  SELECT 'model' AS judge, label, exposure, probability, (probability >= {THRESHOLD})::INT AS prediction FROM rated
+  UNION ALL
+  SELECT 'baseline', label, exposure, {_EXACT}::INT::DOUBLE, {_EXACT}::INT FROM rated),
+counts AS (SELECT judge, probability, sum(label) AS pos, count(*) - sum(label) AS neg FROM scored GROUP BY ALL),
+running AS (SELECT *, sum(pos) OVER w AS cum_pos, sum(neg) OVER w AS cum_neg
+  FROM counts WINDOW w AS (PARTITION BY judge ORDER BY probability DESC)),
+ranked AS (SELECT judge, round(sum(pos * (cum_pos / (cum_pos + cum_neg))) / sum(pos), 6) AS average_precision,
+    round(1 - sum(pos * (cum_neg - neg / 2)) / (sum(pos)::DOUBLE * sum(neg)), 6) AS roc_auc FROM running GROUP BY 1),
+confused AS ({_CONFUSION.replace("SELECT count", "SELECT judge, count", 1)} GROUP BY judge),
+costs AS (SELECT judge, round(avg(prediction), 9) AS review_rate,
+    round(coalesce(sum(exposure) FILTER (label = 1 AND prediction = 1), 0)
+      / sum(exposure) FILTER (label = 1), 9) AS duplicate_value_capture,
+    round(coalesce(sum(exposure) FILTER (label = 1 AND prediction = 0), 0)
+      + 50.0 * count(*) FILTER (label = 0 AND prediction = 1), 2) AS expected_control_cost
+  FROM scored GROUP BY 1)""",
+        f"SELECT judge, average_precision, roc_auc, tn, fp, fn, tp, {_RATES}, review_rate, duplicate_value_capture, "
+        "expected_control_cost FROM ranked JOIN confused USING (judge) JOIN costs USING (judge)",
+    ),
     "recall_by_type": _with(
         JUDGED,
         "SELECT pair_type AS duplicate_type, round(avg(prediction), 9) AS recall, "
