@@ -2,7 +2,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from twinbill.llm import near_dup
 from twinbill.llm.components import components
 from twinbill.llm.near_dup import NearDup, keep_first, near_duplicates
 
@@ -51,8 +53,10 @@ def test_table_against_all_pairs(docs, width):
     _compare(docs, width)
 
 
-def test_links_that_miss_the_smallest_member(spark):
+@pytest.mark.parametrize("cell", [512, 4])
+def test_links_that_miss_the_smallest_member(spark, monkeypatch, cell):
     """Chains and stars whose centre is not the smallest id, with many copies at the edge of the threshold."""
+    monkeypatch.setattr(near_dup, "CELL", cell)
     rng = random.Random(3)
     vocabulary = [f"w{k}" for k in range(4000)]
     base = rng.choices(vocabulary, k=200)
@@ -69,6 +73,20 @@ def test_links_that_miss_the_smallest_member(spark):
     _compare(spark.createDataFrame(rows, "doc_id long, text string"), 2)
 
 
+def test_cells_hold_every_pair_of_a_hot_key_once(spark, monkeypatch):
+    """One band key with a main component, members outside it, and equal sketches: pairs across components only."""
+    monkeypatch.setattr(near_dup, "CELL", 16)
+    rule = NearDup()
+    parts = {i: 1 if i > 60 else i // 6 * 6 for i in range(2, 400)}
+    rows = [(7, i, c, 100 if i % 3 else 50, [0] * 16, 1) for i, c in parts.items()]
+    df = spark.createDataFrame(rows, "band long, id long, c long, n long, s array<long>, main long")
+    outside = sum(c != 1 for c in parts.values())
+    df = df.withColumn("left_cuts", near_dup._cuts(F.lit(outside))).withColumn("right_cuts", near_dup._cuts(F.lit(len(parts))))
+    assert tuple(df.select("left_cuts", "right_cuts").first()) == (4, 32)
+    got = sorted(tuple(r) for r in near_dup._across(df, rule).collect())
+    assert got == sorted((i, j) for i in parts for j in parts if i < j and parts[i] != parts[j] and (i % 3 == 0) == (j % 3 == 0))
+
+
 def test_odd_rows(odd_docs, no_docs):
     _compare(odd_docs, 2)
     assert near_duplicates(no_docs).count() == 0

@@ -11,9 +11,9 @@
 3. The rest is confirmed on full shingle sets, with integers.
 4. A band key whose members still lie in several components is looked at again,
    so that a link that does not touch the smallest class is found too. Each
-   member outside the key's main component is compared with the whole of that
-   component, sketches first, then full sets, inside the join: only links
-   come out. Members outside it are compared with each other by band key.
+   member outside the key's main component is compared with the members of the
+   other components under that key: set sizes and sketches inside the join, cut
+   into cells of bounded size, then full sets for the pairs that pass.
 """
 
 from __future__ import annotations
@@ -198,6 +198,46 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, rule: NearDup) -> DataFrame:
     )
 
 
+#: Members of a band key that one cell of a comparison holds on each side, about.
+CELL = 512
+
+
+def _cuts(n):
+    """Cells, a power of two, that hold ``n`` members of a band key."""
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n / CELL, F.lit(1.0))))).cast("int")
+
+
+def _across(rows: DataFrame, rule: NearDup) -> DataFrame:
+    """``(u, v)`` of one band key and two components that sizes and sketches let pass.
+
+    The left side holds the members outside the key's main component, the
+    right side all of them; both are cut into cells, so a key of any size is
+    spread over tasks.
+    """
+    cell = lambda cuts: F.pmod(F.xxhash64("id"), F.col(cuts)).cast("int")
+    every = lambda cuts: F.explode(F.expr(f"sequence(0, {cuts} - 1)"))
+    left = (
+        rows.where("c <> main")
+        .withColumn("left_cell", cell("left_cuts"))
+        .withColumn("right_cell", every("right_cuts"))
+        .selectExpr("band", "left_cell", "right_cell", "main", "id u", "c cu", "n nu", "s su")
+    )
+    right = (
+        rows.withColumn("right_cell", cell("right_cuts"))
+        .withColumn("left_cell", every("left_cuts"))
+        .selectExpr("band", "left_cell", "right_cell", "id v", "c cv", "n nv", "s sv")
+    )
+    sizes = 100 * F.least("nu", "nv") >= rule.percent * F.greatest("nu", "nv")
+    # Two members outside the main component meet twice; the smaller id is u.
+    once = (F.col("cv") == F.col("main")) | (F.col("u") < F.col("v"))
+    return (
+        left.join(right, ["band", "left_cell", "right_cell"])
+        .where((F.col("cu") != F.col("cv")) & once & sizes & (_odd_bits("su", "sv", rule) <= rule.most_odd_bits))
+        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, rule: NearDup | None = None) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with the component it belongs to.
 
@@ -238,57 +278,36 @@ def near_duplicates(docs: DataFrame, rule: NearDup | None = None) -> DataFrame:
     label = components(links)
 
     # Band keys that still hold several components, and the largest of each.
+    sized = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
     placed = materialize(
-        met.select("band", F.col("v").alias("id"), "u")
+        met.select("band", F.col("v").alias("id"), F.col("u").alias("pivot"))
         .join(label, "id", "left")
-        .select("band", "id", "u", F.coalesce("component", "id").alias("c")),
+        .select("band", "id", "pivot", F.coalesce("component", "id").alias("c")),
         "placed",
     )
-    parts = placed.groupBy("band", "c").agg(F.count("*").alias("n"))
-    mixed = (
-        parts.groupBy("band")
-        .agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count("*").alias("k"), F.sum("n").alias("n"))
+    per_part = placed.groupBy("band", "c").agg(F.count("*").alias("n"))
+    mixed = materialize(
+        per_part.groupBy("band")
+        .agg(F.max(F.struct("n", "c")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("n"))
         .where("k > 1 and n > 2")
+        .select(
+            "band",
+            F.col("main.c").alias("main"),
+            _cuts(F.col("n") - F.col("main.n")).alias("left_cuts"),
+            _cuts(F.col("n")).alias("right_cuts"),
+        ),
+        "mixed",
     )
-    apart = materialize(
-        placed.join(mixed.select("band", "main"), "band").where("c <> main"), "apart"
-    )
-    sketches = reps.select("doc_id", "sketch")
-
-    # Against the main component.
-    members = label.unionByName(
-        reps.select(F.col("doc_id").alias("id")).join(label, "id", "left_anti").select("id", F.col("id").alias("component"))
-    ).join(apart.select(F.col("main").alias("component")).distinct(), "component", "left_semi")
-    members = materialize(members, "members")
-    outside = apart.select(F.col("id").alias("u"), "main").distinct()
-    wanted = members.select("id").union(outside.select("u"))
-    sets = _sets(wanted, docs, rule)
-    left = (
-        outside.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("su")), "u")
-        .join(sets.select(F.col("id").alias("u"), F.col("items").alias("left_items")), "u")
-    )
-    right = (
-        members.select(F.col("id").alias("v"), F.col("component").alias("main"))
-        .join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sv")), "v")
-        .join(sets.select(F.col("id").alias("v"), F.col("items").alias("right_items")), "v")
-    )
-    to_main = (
-        left.join(right, "main").where(close & _similar("left_items", "right_items", rule)).select("u", "v").distinct()
-    )
-
-    # Among those outside it.
-    rest = apart.join(sketches.select(F.col("doc_id").alias("id"), F.col("sketch").alias("s")), "id")
-    x = rest.select("band", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("s").alias("su"), F.col("u").alias("pivot"))
-    y = rest.select("band", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("s").alias("sv"))
-    across = materialize(
-        x.join(y, "band")
-        .where("cu <> cv and u < v and u <> pivot")
-        .where(close)
-        .select("u", "v")
-        .distinct(),
-        "across",
+    # The smallest class of a key has met all others already.
+    open_rows = materialize(
+        placed.where("id <> pivot").join(mixed, "band").join(sized, "id").select(
+            "band", "id", "c", "n", "s", "main", "left_cuts", "right_cuts"
+        ),
+        "open",
     )
-    more = materialize(to_main.unionByName(_confirmed(across, sets, rule)), "confirmed")
+    across = materialize(_across(open_rows, rule), "across")
+    ids = across.select(F.col("u").alias("id")).union(across.select("v"))
+    more = materialize(_confirmed(across, _sets(ids, docs, rule), rule), "confirmed")
 
     label = components(links.unionByName(more).unionByName(same_id))
     return (
