@@ -1,8 +1,9 @@
 import random
+from itertools import combinations
 
 import numpy as np
 
-from twinbill.llm.line_dedup import LineDedup, line_dedup, patience, runs
+from twinbill.llm.line_dedup import LineDedup, _heaviest, line_dedup, patience, runs
 
 
 def _longest_common(a, b):
@@ -29,6 +30,24 @@ def test_patience_is_a_common_subsequence():
     assert patience([], [1]) == []
 
 
+def test_crossing_anchors_are_weighed_by_words(spark):
+    rng = random.Random(2)
+    for _ in range(100):
+        common = list(enumerate(rng.sample(range(8), rng.randint(1, 8))))
+        words = [rng.randint(0, 12) for _ in range(8)]
+        rising = lambda c: all(x[1] < y[1] for x, y in zip(c, c[1:]))
+        chain = _heaviest(common, words)
+        best = max(
+            sum(words[j] for _, j in c) for n in range(len(common) + 1) for c in combinations(common, n) if rising(c)
+        )
+        assert rising(chain) and set(chain) <= set(common) and sum(words[j] for _, j in chain) == best
+    # A long line that crosses several shorter ones goes, whatever their number and that of the documents.
+    short = ["one two three four", "five six", "seven eight"]
+    rows = [(1, "\n".join([_line(0), *short])), (2, "\n".join([*short[:2], "own", short[2], _line(0)]))]
+    assert _run(spark, rows)[2].text == "\n".join([*short[:2], "own", short[2]])
+    assert _run(spark, rows + [(i, f"text {i}") for i in range(3, 600)])[2].text == _run(spark, rows)[2].text
+
+
 def _line(k):
     return " ".join(f"w{k}_{j}" for j in range(9))
 

@@ -6,22 +6,21 @@
    from a line or back from it; a long line is its own run. Runs have owners
    as lines have. A later document meets the owner of each run it repeats,
    however many documents hold the run: every block that could be deleted
-   contains a run. It also meets the owner of a shorter line they share if the
-   line is rare (in two documents, or in at most ``rare_share`` of all), or if
-   the lines of that owner make up half of the later document. One row per
-   document and owner, so a group of any size gives no pairs inside itself.
-   Rows of an owner that many documents meet are dealt to several tasks.
-3. Patience diff aligns the two documents: lines that occur once in both and
-   keep their order anchor it, equal neighbours extend it, and the gaps are
-   aligned in the same way; where no line occurs once, the first of a line goes
-   with the first. Runs of aligned lines with at least ``min_words`` words are
-   deleted from the later document, and so are its further copies of them.
+   contains a run, so shorter lines bring no documents together and the size
+   of the corpus plays no part. One row per document and owner, so a group of
+   any size gives no pairs inside itself. Rows of an owner that many documents
+   meet are dealt to several tasks.
+3. Patience diff aligns the two documents: lines that occur once in both anchor
+   it, of those that cross the chain with the most words, equal neighbours
+   extend it, and the gaps are aligned in the same way; where no line occurs
+   once, the first of a line goes with the first. Runs of aligned lines with at
+   least ``min_words`` words are deleted from the later document, and so are its
+   further copies of them.
    The owner keeps them, since no earlier document has them.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,15 +37,12 @@ _BASE = U(0xD6E8FEB86659FD93)
 
 @dataclass(frozen=True)
 class LineDedup:
-    """``line_words``: shorter lines bring no documents together (they may still be aligned)."""
+    """``min_words``: the fewest words of a block that is deleted."""
 
     min_words: int = 8
-    line_words: int = 3
-    rare_share: float = 1 / 256
-    half: float = 0.5
 
 
-#: Documents with one line or run that a task aligns with its owner, about.
+#: Documents with one run that a task aligns with its owner, about.
 _PART = 256
 
 
@@ -103,8 +99,39 @@ def _lines(batches: Iterator[pa.RecordBatch], rule: LineDedup) -> Iterator[pa.Re
         )
 
 
-def patience(left: list[int], right: list[int]) -> list[tuple[int, int]]:
-    """Matched index pairs, increasing in both; the same for every run."""
+def _heaviest(common: list[tuple[int, int]], weight: list[int]) -> list[tuple[int, int]]:
+    """Anchors, increasing on the left, whose right sides increase too and weigh most."""
+    if all(x[1] < y[1] for x, y in zip(common, common[1:])):
+        return common
+    rank = {j: r for r, j in enumerate(sorted(j for _, j in common), 1)}
+    # Fenwick tree over ranks: heaviest chain that ends at or before a rank, and its last anchor.
+    best = [(0, -1)] * (len(rank) + 1)
+
+    def up_to(r: int) -> tuple[int, int]:
+        top = (0, -1)
+        while r:
+            top = max(top, best[r])
+            r &= r - 1
+        return top
+
+    before = []
+    for k, (_, j) in enumerate(common):
+        total, last = up_to(rank[j] - 1)
+        before.append(last)
+        r, own = rank[j], (total + weight[j], k)
+        while r < len(best):
+            best[r] = max(best[r], own)
+            r += r & -r
+    chain, k = [], up_to(len(rank))[1]
+    while k >= 0:
+        chain.append(common[k])
+        k = before[k]
+    return chain[::-1]
+
+
+def patience(left: list[int], right: list[int], words: list[int] | None = None) -> list[tuple[int, int]]:
+    """Matched index pairs, increasing in both; ``words`` weigh the right lines (all alike). The same for every run."""
+    words = words or [1] * len(right)
     out: list[tuple[int, int]] = []
     todo = [(0, len(left), 0, len(right))]
     while todo:
@@ -132,20 +159,7 @@ def patience(left: list[int], right: list[int]) -> list[tuple[int, int]]:
                 if (left[i], nth[left[i]]) in places:
                     common.append((i, places[left[i], nth[left[i]]]))
                 nth[left[i]] += 1
-        # Longest run of anchors that increases on the right side too.
-        tails: list[int] = []
-        heads: list[int] = []
-        before = [-1] * len(common)
-        for k, (_, j) in enumerate(common):
-            at = bisect_left(tails, j)
-            before[k] = heads[at - 1] if at else -1
-            tails[at : at + 1] = [j]
-            heads[at : at + 1] = [k]
-        chain, k = [], heads[-1] if heads else -1
-        while k >= 0:
-            chain.append(common[k])
-            k = before[k]
-        chain.reverse()
+        chain = _heaviest(common, words)
         if chain:
             for (i, j), (x, y) in zip([(a - 1, c - 1), *chain], [*chain, (b, d)], strict=True):
                 todo.append((i + 1, x, j + 1, y))
@@ -191,12 +205,28 @@ def further_copies(lines: list[int], words: list[int], cuts: list[tuple[int, int
                 rest += [(i, j) for i, j in _run_ends(words, least, start, k) if tuple(lines[i:j]) in known]
             k += 1
         at = high
+    return _merged(rest)
+
+
+def _merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for i, j in sorted(rest):
-        if out and i <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], j))
+    for low, high in sorted(parts):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
         else:
-            out.append((i, j))
+            out.append((low, high))
+    return out
+
+
+def _aligned(matched: list[tuple[int, int]], words: list[int], least: int) -> list[tuple[int, int]]:
+    """Right sides of the runs of neighbouring matches with ``least`` words or more."""
+    out, start = [], 0
+    for k in range(1, len(matched) + 1):
+        if k == len(matched) or matched[k] != (matched[k - 1][0] + 1, matched[k - 1][1] + 1):
+            low, high = matched[start][1], matched[k - 1][1] + 1
+            if sum(words[low:high]) >= least:
+                out.append((low, high))
+            start = k
     return out
 
 
@@ -207,14 +237,7 @@ def _blocks(rule: LineDedup):
             cut: list[list[dict]] = []
             names = ("owner_lines", "lines", "words")
             for owner, lines, words in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-                found, matched = [], patience(owner, lines)
-                start = 0
-                for k in range(1, len(matched) + 1):
-                    if k == len(matched) or matched[k] != (matched[k - 1][0] + 1, matched[k - 1][1] + 1):
-                        low, high = matched[start][1], matched[k - 1][1] + 1
-                        if sum(words[low:high]) >= rule.min_words:
-                            found.append((low, high))
-                        start = k
+                found = _aligned(patience(owner, lines, words), words, rule.min_words)
                 found += further_copies(lines, words, found, rule.min_words)
                 cut.append([{"low": low, "high": high} for low, high in found])
             yield pa.record_batch(
@@ -243,43 +266,24 @@ def overlaps(lines: DataFrame, rule: LineDedup) -> DataFrame:
 
     ``parts`` is the number of tasks, a power of two, that share the rows of the owner with this number.
     """
-    few = max(2, int(lines.count() * rule.rare_share))
     single = F.transform(
-        F.array_distinct(F.arrays_zip("lines", "words")),
-        lambda x: F.struct(x["lines"].alias("line"), x["words"].alias("words"), (x["words"] >= rule.min_words).alias("run")),
+        F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= rule.min_words), lambda x: x["lines"]
     )
-    several = F.transform(
-        F.array_distinct("runs"),
-        lambda x: F.struct(x.alias("line"), F.lit(0).alias("words"), F.lit(True).alias("run")),
-    )
-    long = F.filter(single, lambda x: x["run"] | (x["words"] >= rule.line_words))
-    seen = lines.select(
-        "digest",
-        "doc_id",
-        F.aggregate("words", F.lit(0), lambda s, w: s + w).alias("all_words"),
-        F.explode(F.concat(long, several)).alias("key"),
-    ).select("digest", "doc_id", "all_words", "key.*")
-    # Written, so that the join below has its own exchange and a hot line can be dealt to several tasks.
+    seen = lines.select("digest", "doc_id", F.explode(F.array_distinct(F.concat(single, "runs"))).alias("run"))
+    # Written, so that the join below has its own exchange and a hot run can be dealt to several tasks.
     owner = materialize(
-        seen.groupBy("line")
+        seen.groupBy("run")
         .agg(F.min(F.struct("doc_id", "digest")).alias("owner"), F.count("*").alias("texts_with"))
         .where("texts_with > 1")
-        .select("line", F.col("owner.digest").alias("owner"), "texts_with"),
-        "line-owners",
+        .select("run", F.col("owner.digest").alias("owner"), "texts_with"),
+        "run-owners",
     )
-    meets = F.col("run") | (F.col("texts_with") <= few)
     parts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("texts_with") / _PART, F.lit(1.0))))).cast("int")
     return (
-        seen.join(owner, "line")
+        seen.join(owner, "run")
         .where("owner <> digest")
         .groupBy("digest", "owner")
-        .agg(
-            F.max(meets).alias("meets"),
-            F.sum("words").alias("shared"),
-            F.max("all_words").alias("all_words"),
-            F.max("texts_with").alias("texts_with"),
-        )
-        .where(F.col("meets") | (F.col("shared") >= rule.half * F.col("all_words")))
+        .agg(F.max("texts_with").alias("texts_with"))
         .select("digest", "owner", parts.alias("parts"))
     )
 
