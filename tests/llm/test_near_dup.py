@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from twinbill.llm import near_dup
 from twinbill.llm.components import components
 from twinbill.llm.near_dup import NearDup, keep_first, near_duplicates
 
@@ -51,8 +52,10 @@ def test_table_against_all_pairs(docs, width):
     _compare(docs, width)
 
 
-def test_links_that_miss_the_smallest_member(spark):
+@pytest.mark.parametrize("cell", [3, near_dup.CELL])
+def test_links_that_miss_the_smallest_member(spark, monkeypatch, cell):
     """Chains and stars whose centre is not the smallest id, with many copies at the edge of the threshold."""
+    monkeypatch.setattr(near_dup, "CELL", cell)
     rng = random.Random(3)
     vocabulary = [f"w{k}" for k in range(4000)]
     base = rng.choices(vocabulary, k=200)

@@ -12,8 +12,10 @@
 4. A band key whose members still lie in several components is looked at again,
    so that a link that does not touch the smallest class is found too. Each
    member outside the key's main component is compared with the whole of that
-   component, sketches first, then full sets, inside the join: only links
-   come out. Members outside it are compared with each other by band key.
+   component: set sizes, sketches, then full sets, inside the join, so only
+   links come out. Both sides are cut into cells of bounded size, so a component
+   of any size is spread over tasks. Members outside it are compared with each
+   other by band key.
 """
 
 from __future__ import annotations
@@ -198,6 +200,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, rule: NearDup) -> DataFrame:
     )
 
 
+#: Rows that a cell of the comparison with a main component holds on each side, about.
+CELL = 2048
+
+
+def _cells(outside: DataFrame, members: DataFrame) -> DataFrame:
+    """Into how many cells each main component's outsiders and members are cut."""
+    cuts = lambda name: F.ceil(F.count("*") / CELL).cast("int").alias(name)
+    left = outside.groupBy("main").agg(cuts("left_cuts"))
+    right = members.groupBy("main").agg(cuts("right_cuts"))
+    return materialize(left.join(right, "main"), "cells")
+
+
+def _in_cells(rows: DataFrame, ident: str, own: str, other: str) -> DataFrame:
+    """Each row in its own cell, once for every cell of the other side; cells are dealt evenly to tasks."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        rows.withColumn(f"{own}_cell", F.pmod(F.xxhash64(ident), F.col(f"{own}_cuts")).cast("int"))
+        .withColumn(f"{other}_cell", F.explode(F.expr(f"sequence(0, {other}_cuts - 1)")))
+        .drop("left_cuts", "right_cuts")
+        # A stated number of partitions: cells are small in bytes and heavy in work.
+        .repartition(tasks, "main", "left_cell", "right_cell")
+    )
+
+
 def near_duplicates(docs: DataFrame, rule: NearDup | None = None) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with the component it belongs to.
 
@@ -263,17 +289,25 @@ def near_duplicates(docs: DataFrame, rule: NearDup | None = None) -> DataFrame:
     outside = apart.select(F.col("id").alias("u"), "main").distinct()
     wanted = members.select("id").union(outside.select("u"))
     sets = _sets(wanted, docs, rule)
+    cells = _cells(outside, members.select(F.col("component").alias("main")))
     left = (
-        outside.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("su")), "u")
+        outside.join(cells, "main")
+        .join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("su")), "u")
         .join(sets.select(F.col("id").alias("u"), F.col("items").alias("left_items")), "u")
     )
     right = (
         members.select(F.col("id").alias("v"), F.col("component").alias("main"))
+        .join(cells, "main")
         .join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sv")), "v")
         .join(sets.select(F.col("id").alias("v"), F.col("items").alias("right_items")), "v")
     )
+    low, high = (f(F.size("left_items"), F.size("right_items")) for f in (F.least, F.greatest))
     to_main = (
-        left.join(right, "main").where(close & _similar("left_items", "right_items", rule)).select("u", "v").distinct()
+        _in_cells(left, "u", "left", "right")
+        .join(_in_cells(right, "v", "right", "left"), ["main", "left_cell", "right_cell"])
+        .where((100 * low >= rule.percent * high) & close & _similar("left_items", "right_items", rule))
+        .select("u", "v")
+        .distinct()
     )
 
     # Among those outside it.
