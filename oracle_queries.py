@@ -58,44 +58,35 @@ base AS (
   JOIN orders ON o_orderkey = ok JOIN part ON p_partkey = pk)"""
 
 RECURRING = """
-seen AS (
-  SELECT *, lag(invoice_date) OVER v AS pd, lag(cents) OVER v AS pc,
-    lag(description) OVER v AS ps, lag(po_number) OVER v AS pp
-  FROM base WINDOW v AS (PARTITION BY vendor_account_id ORDER BY invoice_date, invoice_id)),
 repeated AS (
   SELECT * REPLACE (
-    CASE WHEN rep THEN pd + (18 + ok % 38)::INTEGER ELSE invoice_date END AS invoice_date,
-    CASE WHEN rep THEN pc ELSE cents END AS cents,
-    CASE WHEN rep THEN ps ELSE description END AS description,
-    CASE WHEN rep AND ok % 20 < 11 THEN pp ELSE po_number END AS po_number)
-  FROM (SELECT *, ok % 50 >= 41 AND pd IS NOT NULL AS rep FROM seen))"""
+    CASE WHEN ok % 5 = 2 THEN 50000 + 2500 * (sk % 40) ELSE cents END AS cents,
+    CASE WHEN ok % 5 = 2 THEN 'standing order' ELSE description END AS description,
+    CASE WHEN ok % 5 = 2 THEN 'PO-S' || printf('%04d', sk) ELSE po_number END AS po_number)
+  FROM base)"""
 
 
 def _ledger(source: str = "base", name: str = "ledger") -> str:
     return f"""
 {name}_typed AS (
-  SELECT *, d AS is_duplicate_record,
-    CASE WHEN NOT d THEN 'original' WHEN m < 5 THEN 'exact' WHEN m < 12 THEN 'format_shift'
-         WHEN m < 16 THEN 'amount_shift' ELSE 'weak_resubmission' END AS duplicate_type
-  FROM (SELECT *, (ok // 25) % 20 AS m FROM {source}
-        CROSS JOIN (VALUES (false), (true)) c(d) WHERE NOT d OR ok % 25 < 4)),
+  SELECT *, d AS is_duplicate_record, ok // 24 AS t,
+    CASE WHEN NOT d THEN 'original' ELSE CASE (ok // 6) % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'format_shift'
+      WHEN 2 THEN 'amount_shift' ELSE 'weak_resubmission' END END AS duplicate_type
+  FROM {source} CROSS JOIN (VALUES (false), (true)) c(d) WHERE NOT d OR ok % 6 = 1),
 {name} AS (
-  SELECT invoice_id || CASE WHEN d THEN '-D' ELSE '' END AS invoice_id, group_id,
+  SELECT invoice_id || CASE WHEN d THEN '-2' ELSE '' END AS invoice_id, group_id,
     vendor_account_id,
-    CASE WHEN duplicate_type IN ('format_shift', 'amount_shift') THEN
-           CASE ok % 4 WHEN 0 THEN replace(invoice_number, '-', '')
-             WHEN 1 THEN lower(invoice_number) WHEN 2 THEN invoice_number || '-R'
-             ELSE replace(invoice_number, 'INV', 'I NV') END
-         WHEN duplicate_type = 'weak_resubmission' THEN
-           'DOC-' || printf('%04d', sk) || '-' || (1000 + (ok * 7919) % 8999)
+    CASE duplicate_type WHEN 'format_shift' THEN
+           replace(invoice_number, '-', CASE t % 3 WHEN 0 THEN '/' WHEN 1 THEN '.' ELSE '_' END)
+             || CASE WHEN (ok // 72) % 2 = 1 THEN 'B' ELSE '' END
+         WHEN 'weak_resubmission' THEN 'BILL ' || reverse(printf('%08d', ok))
          ELSE invoice_number END AS invoice_number,
-    CASE WHEN d THEN invoice_date + (1 + ok % 21)::INTEGER ELSE invoice_date END AS invoice_date,
-    CASE duplicate_type WHEN 'amount_shift' THEN cents * (1000 + (ok * 7919) % 31 - 15) // 1000
-      WHEN 'weak_resubmission' THEN cents * (1000 + (ok * 7919) % 61 - 30) // 1000
+    CASE WHEN d THEN invoice_date + (3 + t % 17)::INTEGER ELSE invoice_date END AS invoice_date,
+    CASE duplicate_type WHEN 'amount_shift' THEN cents + cents // (64 + t % 64)
+      WHEN 'weak_resubmission' THEN cents - cents // (34 + t % 30)
       ELSE cents END / 100.0::DOUBLE AS amount,
     currency,
-    CASE WHEN duplicate_type = 'weak_resubmission'
-           OR (duplicate_type = 'amount_shift' AND ok % 2 = 0) THEN ''
+    CASE WHEN duplicate_type = 'weak_resubmission' THEN 'PO-V' || printf('%04d', sk)
          ELSE po_number END AS po_number,
     bank_fingerprint, description, is_duplicate_record, duplicate_type
   FROM {name}_typed)"""

@@ -79,8 +79,8 @@ def test_training_writes_evidence(spark, run, tmp_path):
     report = run.evaluation
     assert report["candidate_recall"]["test"] >= 0.95
     assert report["model"]["f1"] >= report["baseline"]["f1"]
-    assert report["split_candidate_pairs"] == {"train": 9300, "validation": 1821, "test": 1643}
-    assert run.quality["rows"] == 1708 and run.quality["duplicate_groups"] == 235
+    assert report["split_candidate_pairs"] == {"train": 9518, "validation": 1846, "test": 1556}
+    assert run.quality["rows"] == 1719 and run.quality["duplicate_groups"] == 246
 
     folder = str(tmp_path / "run")
     write_run(spark, run, folder)

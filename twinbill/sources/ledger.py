@@ -6,20 +6,15 @@ number of partitions, and in any SQL engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Resubmission types and their share of twentieths (25, 35, 20
-# and 20 per cent), the injection rate in twenty-fifths, date shift, amount
-# spread in thousandths, and the window of legitimate recurring invoices.
+# Names of the resubmission types.
 TYPES = ("exact", "format_shift", "amount_shift", "weak_resubmission")
-TYPE_ENDS = (5, 12, 16, 20)
-RATE_OF_25 = 4
-MAX_SHIFT_DAYS = 21
-AMOUNT_SPREAD = 15
-WEAK_SPREAD = 30
-RECURRING_DAYS = (18, 55)
-SCATTER = 7919
+#: One invoice in so many comes in again, the types by turns.
+AGAIN = 6
+#: One invoice in so many belongs to the vendor's standing order.
+STANDING = 5
 
 
 def padded(number: Column, width: int) -> Column:
@@ -70,116 +65,65 @@ def base_ledger(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> Data
     )
 
 
-def _mutated(number: Column, key: Column) -> Column:
-    return (
-        F.when(key % 4 == 0, F.replace(number, F.lit("-"), F.lit("")))
-        .when(key % 4 == 1, F.lower(number))
-        .when(key % 4 == 2, F.concat(number, F.lit("-R")))
-        .otherwise(F.replace(number, F.lit("INV"), F.lit("I NV")))
-    )
-
-
 def with_resubmissions(base: DataFrame) -> DataFrame:
-    """Every row, and for 16 % of them a labelled copy in one of four types.
+    """Every row, and for one in AGAIN of them a labelled copy some days later.
 
     ``base`` carries ``key`` (a non-negative long per row), ``vendor_key`` and
-    ``cents`` beside the invoice columns. Copies come out of the same pass over
-    the rows as the originals.
+    ``cents`` beside the invoice columns. By type, a copy is the same paper
+    again; the number typed with other separators, at times with a revision
+    letter; the same number with a surcharge; or a bill under a number of its
+    own, discounted, on the vendor's blanket order. Copies come out of the same
+    pass over the rows as the originals.
     """
-    key, cents, number = F.col("key"), F.col("cents"), F.col("invoice_number")
-    draw = F.expr("key div 25 % 20")
-    kind = F.when(~F.col("is_duplicate_record"), "original")
-    for name, end in zip(TYPES, TYPE_ENDS):
-        kind = kind.when(draw < end, name)
-    is_copy = F.col("is_duplicate_record")
-    is_format = F.col("duplicate_type").isin("format_shift", "amount_shift")
-    is_amount = F.col("duplicate_type") == "amount_shift"
-    is_weak = F.col("duplicate_type") == "weak_resubmission"
-
-    def spread(half: int) -> Column:
-        drawn = f"(key * {SCATTER}) % {2 * half + 1}"
-        return F.expr(f"cents * (1000 + {drawn} - {half}) div 1000")
-
-    weak_number = F.concat(
-        F.lit("DOC-"), padded(F.col("vendor_key"), 4), F.lit("-"),
-        (1000 + (key * SCATTER) % 8999).cast("string"),
-    )
-    once, twice = F.array(F.lit(False)), F.array(F.lit(False), F.lit(True))
-    return (
-        base.withColumn(
-            "is_duplicate_record", F.explode(F.when(key % 25 < RATE_OF_25, twice).otherwise(once))
-        )
-        .withColumn("duplicate_type", kind)
-        .withColumns(
-            {
-                "invoice_id": F.when(is_copy, F.concat("invoice_id", F.lit("-D"))).otherwise(
-                    F.col("invoice_id")
-                ),
-                "invoice_date": F.when(
-                    is_copy, F.date_add("invoice_date", (1 + key % MAX_SHIFT_DAYS).cast("int"))
-                ).otherwise(F.col("invoice_date")),
-                "invoice_number": F.when(is_format, _mutated(number, key))
-                .when(is_weak, weak_number)
-                .otherwise(number),
-                "cents": F.when(is_amount, spread(AMOUNT_SPREAD))
-                .when(is_weak, spread(WEAK_SPREAD))
-                .otherwise(cents),
-                "po_number": F.when(is_weak | (is_amount & (key % 2 == 0)), "").otherwise(
-                    F.col("po_number")
-                ),
-            }
-        )
-    )
-
-
-def recurring_lookalikes(base: DataFrame) -> DataFrame:
-    """Legitimate repeats, in groups of their own: a vendor's invoice that takes
-    amount and description of the vendor's previous one 18 to 55 days later.
-
-    The previous invoice is looked up within the vendor's day first; across
-    days only each day's last invoice is ranked. So no task sorts all rows of
-    a large vendor.
+    number, cents, turn = F.col("invoice_number"), F.col("cents"), F.expr(f"key div {AGAIN * len(TYPES)}")
+    kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), F.expr(f"cast(key div {AGAIN} % {len(TYPES)} + 1 as int)"))
+    separator = F.substring(F.lit("/._"), (turn % 3 + 1).cast("int"), F.lit(1))
+    revision = F.when(F.expr(f"key div {AGAIN * len(TYPES) * 3} % 2 = 1"), "B").otherwise("")
+    retyped = F.concat(F.replace(number, F.lit("-"), separator), revision)
+    surcharge = F.expr(f"cents div (64 + key div {AGAIN * len(TYPES)} % 64)")
+    discount = F.expr(f"cents div (34 + key div {AGAIN * len(TYPES)} % 30)")
+    paper = {name: F.col(name) for name in base.columns} | {"duplicate_type": F.lit("original")}
+    copy = paper | {
+        "invoice_id": F.concat("invoice_id", F.lit("-2")),
+        "invoice_date": F.date_add("invoice_date", (3 + turn % 17).cast("int")),
+        "invoice_number": F.when(kind == "format_shift", retyped)
+        .when(kind == "weak_resubmission", F.concat(F.lit("BILL "), F.reverse(padded(F.col("key"), 8))))
+        .otherwise(number),
+        "cents": F.when(kind == "amount_shift", cents + surcharge)
+        .when(kind == "weak_resubmission", cents - discount)
+        .otherwise(cents),
+        "po_number": F.when(kind == "weak_resubmission", _vendor_order("PO-V", F.col("vendor_key"))).otherwise(
+            F.col("po_number")
+        ),
+        "duplicate_type": kind,
+    }
+    once, again = (F.struct(*[value.alias(name) for name, value in row.items()]) for row in (paper, copy))
+    return base.select(
+        F.inline(F.when(F.col("key") % AGAIN == 1, F.array(once, again)).otherwise(F.array(once)))
+    ).withColumn("is_duplicate_record", F.col("duplicate_type") != "original")
+
+
+def _vendor_order(prefix: str, vendor: Column) -> Column:
+    return F.concat(F.lit(prefix), padded(vendor, 4))
+
+
+def with_standing_orders(base: DataFrame) -> DataFrame:
+    """Legitimate repeats, in groups of their own: one invoice in STANDING bills its vendor's standing order.
+
+    Such invoices of a vendor share amount, order number and description.
     """
-    key = F.col("key")
-    day = ["vendor_account_id", "invoice_date"]
-    taken = F.struct("invoice_date", "cents", "description", "po_number")
-    within_day = Window.partitionBy(*day).orderBy("invoice_id")
-    across_days = Window.partitionBy("vendor_account_id").orderBy("invoice_date")
-    days = (
-        base.groupBy(*day)
-        .agg(F.max_by(taken, F.col("invoice_id")).alias("last"))
-        .select(*day, F.lag("last").over(across_days).alias("carried"))
-    )
-    seen = (
-        base.withColumn("same_day", F.lag(taken).over(within_day))
-        .join(days, day)
-        .withColumn("previous", F.coalesce("same_day", "carried"))
-        .select(*base.columns, "previous.*")
-    )
-    names = [f"previous_{c}" for c in ("invoice_date", "cents", "description", "po_number")]
-    seen = seen.toDF(*base.columns, *names)
-    first, last = RECURRING_DAYS
-    repeats = (key % 50 >= 41) & F.col("previous_invoice_date").isNotNull()
-    return seen.withColumns(
-        {
-            "invoice_date": F.when(
-                repeats,
-                F.date_add("previous_invoice_date", (first + key % (last - first + 1)).cast("int")),
-            ).otherwise(F.col("invoice_date")),
-            "cents": F.when(repeats, F.col("previous_cents")).otherwise(F.col("cents")),
-            "description": F.when(repeats, F.col("previous_description")).otherwise(
-                F.col("description")
-            ),
-            "po_number": F.when(repeats & (key % 20 < 11), F.col("previous_po_number")).otherwise(
-                F.col("po_number")
-            ),
-        }
-    ).select(*base.columns)
+    vendor, standing = F.col("vendor_key"), F.col("key") % STANDING == 2
+    order = {
+        "cents": (50_000 + 2_500 * (vendor % 40)).cast("bigint"),
+        "description": F.lit("standing order"),
+        "po_number": _vendor_order("PO-S", vendor),
+    }
+    return base.withColumns({name: F.when(standing, value).otherwise(F.col(name)) for name, value in order.items()})
 
 
 def inject(base: DataFrame, recurring: bool = False) -> DataFrame:
     """Clean rows plus labelled resubmissions, amounts back in currency units."""
-    clean = recurring_lookalikes(base) if recurring else base
+    clean = with_standing_orders(base) if recurring else base
     return (
         with_resubmissions(clean)
         .withColumn("amount", F.col("cents") / 100.0)
