@@ -11,7 +11,7 @@ from twinbill.plans.compare_runs import assert_same_run, compare_runs
 from twinbill.plans.score_csv import score_csv
 from twinbill.plans.training import train_and_evaluate, write_run
 from twinbill.plans.triage import flagged_pairs
-from twinbill.sources.ledger import inject, keyed
+from twinbill.sources.ledger import inject, keyed, with_repeats
 from twinbill.sources.model_store import load_model, save_model
 from twinbill.streaming import triage_stream as TS
 
@@ -70,6 +70,29 @@ def test_injection_into_any_ledger(spark):
     assert worst[0] >= 1 and worst[1] <= 21 and worst[2] <= 0.031
 
 
+def test_repeats_look_up_the_invoice_before(spark):
+    """By (date, id) within the vendor, also across days; undated rows and a vendor's first one stay."""
+    rows = [
+        (2, "A", "I02", date(2024, 1, 1), 100, "a", "P1"),  # nothing before it
+        (7, "A", "I07", date(2024, 1, 1), 200, "b", "P2"),  # the one before of the same day
+        (12, "A", "I12", date(2024, 2, 1), 300, "c", "P3"),  # the last one of the day before, order number of its own
+        (17, "A", "I17", None, 400, "d", "P4"),  # undated ones come last
+        (22, "A", "I22", None, 500, "e", "P5"),  # the one before has no date
+        (27, None, "I27", date(2024, 1, 1), 600, "f", "P6"),
+        (32, None, "I32", date(2024, 1, 2), 700, "g", "P7"),
+        (33, "A", "I33", date(2024, 3, 1), 800, "h", "P8"),
+    ]
+    names = "key bigint, vendor_account_id string, invoice_id string, invoice_date date, cents bigint, description string, po_number string"
+    found = {r["key"]: tuple(r)[3:] for r in with_repeats(spark.createDataFrame(rows, names)).collect()}
+    same = {r[0]: r[3:] for r in rows}
+    assert found == same | {
+        7: (date(2024, 1, 29), 100, "a", "P1"),
+        12: (date(2024, 2, 3), 200, "b", "P3"),
+        17: (date(2024, 4, 8), 800, "h", "P8"),
+        32: (date(2024, 2, 23), 600, "f", "P6"),
+    }
+
+
 @pytest.fixture(scope="module")
 def run(spark, ledger):
     return train_and_evaluate(ledger)
