@@ -207,3 +207,27 @@ def test_fold_of_every_code_point_without_python(spark):
     for r in got.collect():
         assert r["u"] == fold(r["t"])
     assert spark.range(1).select(ascii_upper(F.lit(None).cast("string")).alias("u")).first()["u"] is None
+
+
+def test_marks_count_whole_batches():
+    """Unary counts up to seven, the rest added up; slices, empty texts, NULL and other characters."""
+    from twinbill.functions.similarity import counted_marks
+
+    texts = pa.array(["zz", "A0", "", None, "9" * 10 + "B" * 9, "\u00e9a-A"], pa.string()).slice(1)
+    empty = {"w0": 0, "w1": 0, "w2": 0, "w3": 0, "digits_beyond": 0, "letters_beyond": 0}
+    assert counted_marks(texts).to_pylist() == [
+        empty | {"w0": 1, "w1": 1 << 7},
+        empty,
+        None,
+        empty | {"w1": 127 | 127 << 14, "digits_beyond": 3, "letters_beyond": 2},
+        empty | {"w1": 1 << 7},
+    ]
+
+
+def test_marks_replace_no_text(spark):
+    """A replacement for each character took most of the time of the pair step."""
+    from twinbill.functions.similarity import marks
+
+    rows = spark.createDataFrame([("AB7",), (None,)], "text string").select("text", marks(F.col("text")).alias("m"))
+    assert "replace(" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r["m"]["w0"] for r in rows.orderBy(F.desc("text")).collect()] == [1 << 49, 0]
