@@ -221,3 +221,23 @@ def test_exact_keys_do_not_depend_on_the_amount_gap(spark):
     )
     for gap in (0.0, 1e-7, 0.05):
         assert exact_key_pairs(df, TriageParams(max_amount_relative_gap=gap)).count() == 1
+
+
+def test_prepared_rows_are_normalised_once(ledger, monkeypatch):
+    """The count of the blocks and both sides of the join read written rows; marks stay free of NULL tests."""
+    made, write = [], B.materialize
+    monkeypatch.setattr(B, "materialize", lambda df, label, by=(): made.append(label) or write(df, label, by))
+    pairs = B.sided_pairs(ledger, PARAMS)
+    assert made.count("prepared") == 1
+    rows = B.written(B.prepare(ledger.limit(5)))
+    assert not any(f.nullable for c in ("number_marks", "description_marks") for f in rows.schema[c].dataType)
+    # no side of the join normalises a text or counts its characters again
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "_marks_udf" not in plan and "regexp_replace" not in plan
+    assert pairs.count() > 0
+
+
+def test_join_sorts_by_one_number_first(ledger):
+    pairs = B.band_pairs(B.prepare(ledger), max_days=60, cell_rows=None)
+    assert "xxhash64" in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "cell" not in pairs.columns
