@@ -1,8 +1,11 @@
 import random
+import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 
+from twinbill.llm.pretokens import classes
 from twinbill.llm.toxicity import Automaton, Tokens, ToxicityRule, fit, reject_toxic, score, toxicity
 
 
@@ -52,6 +55,33 @@ def test_words_and_quotation_marks():
     assert [w for w, q in zip(words, quoted, strict=True) if q] == ["you", "idiot", "a", "open"]
 
 
+def test_marks_at_the_ends_against_a_pattern():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab1é*@$ .\n") for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    tokens = Tokens(pa.array([*texts, "ab**", "**cd", "***", None]))
+    got = [(tokens.row[k], tokens.word(k)) for k in range(len(tokens.starts))]
+    inner = r"[ab1é](?:[ab1é*@$]*[ab1é])?"
+    assert got == [(r, w) for r, t in enumerate([*texts, "ab", "cd"]) for w in re.findall(inner.replace("b1", "bcd1"), t)]
+
+
+def _peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_worker():
+    """Tables of code points and words of a batch: each worker of an executor holds both at once."""
+    classes.cache_clear()
+    assert _peak(classes) < 40 << 20
+    texts = pa.array(["he said $5 to me@here.org, " * 80] * 1000)  # about two million characters
+    Tokens(texts[:1])
+    assert _peak(lambda: Tokens(texts)) < 60 << 20
+
+
 def _corpus(rng, n, start=0):
     docs, labels = [], []
     bad = ["slorgan", "mifterax", "quonterly"]

@@ -35,7 +35,7 @@ SHORT = 64
 #: Short pre-tokens that are encoded in one step.
 TOGETHER = 1 << 15
 #: Ids that are decoded in one step, about.
-IDS = 1_000_000
+IDS = 1 << 17
 #: Pairs in the compatibility table of a worker (it starts anew when full).
 PAIRS = 2_000_000
 _NEVER = 1 << 40

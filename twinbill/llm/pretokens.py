@@ -23,9 +23,9 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 def classes() -> np.ndarray:
     """Class of every code point."""
     table = np.zeros(0x110000, np.uint8)
-    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
-    text = "".join(map(chr, points))
-    index = np.array(points)
+    points = np.arange(0x110000, dtype=np.uint32)
+    index = points[(points < 0xD800) | (points >= 0xE000)]  # no list: a worker keeps the memory of a million numbers
+    text = index.tobytes().decode("utf-32-le")
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
         for found in regex.finditer(pattern, text):
             table[index[found.start() : found.end()]] = kind

@@ -67,26 +67,33 @@ def _folding() -> tuple[np.ndarray, np.ndarray]:
 _OPEN, _CLOSE, _STRAIGHT = "“„«‹", "”»›", '"'
 
 
+def _before(places: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of the sorted ``places`` lie before each of ``at``; sums over a whole batch would hold eight bytes a
+    character."""
+    return np.searchsorted(places, at)
+
+
 class Tokens:
     """Words of a batch by code points: span, row, and whether inside quotation marks."""
 
     def __init__(self, column: pa.Array):
         raw, offsets = column_bytes(column)
-        head = (raw & 0xC0) != 0x80
-        place = np.concatenate([[0], np.cumsum(head)])
-        self.offsets = place[offsets]
-        points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        self.offsets = offsets - _before(np.flatnonzero((raw & 0xC0) == 0x80), offsets)
+        points = np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), np.uint32)
         lower, inside = _folding()
-        self.points = lower[points]
         starts, ends = spans(inside[points], self.offsets)
-        mark = np.isin(self.points, [ord(c) for c in "*@$"])
-        if mark.any():  # marks at either end belong to no word
-            solid = np.concatenate([[0], np.cumsum(~mark)])
-            keep = solid[ends] > solid[starts]
+        self.points = lower[points]
+        del points
+        marks = np.flatnonzero((self.points == 42) | (self.points == 64) | (self.points == 36))
+        if len(marks):  # marks at either end belong to no word
+            keep = _before(marks, ends) - _before(marks, starts) < ends - starts
             starts, ends = starts[keep], ends[keep]
-            firm = np.flatnonzero(~mark)
-            starts = firm[np.searchsorted(firm, starts)]
-            ends = firm[np.searchsorted(firm, ends) - 1] + 1
+            gap = np.diff(marks) > 1
+            heads, tails = marks[np.concatenate([[True], gap])], marks[np.concatenate([gap, [True]])]
+            run = np.minimum(_before(tails, starts), len(tails) - 1)
+            starts = np.where((heads[run] <= starts) & (starts <= tails[run]), tails[run] + 1, starts)
+            run = np.minimum(_before(tails, ends - 1), len(tails) - 1)
+            ends = np.where((heads[run] < ends) & (ends - 1 <= tails[run]), heads[run], ends)
         self.starts, self.ends = starts, ends
         self.row = row_of(self.offsets, starts)
         self.first = np.searchsorted(self.row, np.arange(len(self.offsets)))
