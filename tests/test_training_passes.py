@@ -33,6 +33,26 @@ def test_moments_give_scaler_weights_and_first_step(pairs):
         assert np.allclose(a, b, rtol=1e-9, atol=1e-7)
 
 
+def test_blocks_give_the_sums_of_the_rows(pairs):
+    blocks = LG.in_blocks(pairs.repartition(3))
+    assert blocks.columns == [LG.BLOCK] and 3 <= blocks.count() < pairs.count() / 100
+    for a, b in zip(vars(LG.moments(blocks)).values(), vars(LG.moments(pairs)).values(), strict=True):
+        assert np.allclose(a, b, rtol=1e-12, atol=1e-12)
+    point = np.linspace(-1, 1, len(FEATURE_NAMES) + 1)
+    mean, scale = LG.scaler(pairs)
+    for a, b in zip(*[LG._objective(df, point, mean, scale, (0.6, 3.0)) for df in (blocks, pairs)], strict=True):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-7)
+    assert LG.in_blocks(pairs.limit(0)).isEmpty()
+
+
+def test_every_pass_of_newton_reads_the_blocks(pairs, monkeypatch):
+    read = []
+    sums = LG.objective_parts
+    monkeypatch.setattr(LG, "objective_parts", lambda train, *rest: read.append(train.columns) or sums(train, *rest))
+    LG.fit(pairs)
+    assert read and all(columns == ["block"] for columns in read)
+
+
 def test_moments_of_one_class_are_refused(pairs):
     with pytest.raises(ValueError, match="both classes"):
         LG.fit(pairs.filter("label = 0"))
