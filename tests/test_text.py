@@ -68,6 +68,25 @@ def check(pairs):
         assert value == SequenceMatcher(None, a, b).ratio(), (a, b)
 
 
+def test_pieces_are_read_where_the_texts_lie(monkeypatch):
+    import numpy as np
+
+    from twinbill.functions import similarity as S
+
+    copied = []
+    monkeypatch.setattr(np, "take_along_axis", lambda *a, **k: copied.append(a))
+    texts = ["INV000100012345", "INV000100021354", "AB", "B", "XAYBZ", "ZBYAX"]
+    buffer = np.frombuffer("".join(texts).encode(), np.uint8)
+    length = np.array([len(t) for t in texts])
+    start = np.cumsum(length) - length
+    left, right = zip(*[(a, b) for a in range(6) for b in range(6)], strict=True)
+    a, b = np.array(left), np.array(right)
+    got = S._matched(buffer, start[a], length[a], buffer, start[b], length[b])
+    ratio = [SequenceMatcher(None, texts[x], texts[y]).ratio() for x, y in zip(left, right, strict=True)]
+    assert np.allclose(2 * got / (length[a] + length[b]), ratio, rtol=0, atol=1e-12)
+    assert not copied
+
+
 def test_similarity_depends_on_order():
     check([("TIDE", "DIET"), ("DIET", "TIDE"), ("", ""), ("", "A"), ("INV100", "INV999")])
     values = ratios(pa.array(["TIDE", "DIET", None]), pa.array(["DIET", "TIDE", "X"]))
