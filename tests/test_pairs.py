@@ -235,3 +235,42 @@ def test_prepared_rows_are_normalised_once(ledger, monkeypatch):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "_marks_udf" not in plan and "regexp_replace" not in plan
     assert pairs.count() > 0
+
+
+def test_cells_hold_every_pair_once(spark):
+    """One invoice a day over several cells: pairs across every border, and none twice."""
+    days = [date.fromordinal(date(2023, 12, 1).toordinal() + k) for k in range(4 * B.CELL_BANDS * 5)]
+    rows = [invoice(f"I{k:03d}", day=day) for k, day in enumerate(days)]
+    table = spark.createDataFrame(rows, INVOICE)
+    copies = B.day_cells(table, 5)
+    assert copies.filter("not copied").count() == len(days)
+    assert copies.count() <= len(days) * (1 + 1 / B.CELL_BANDS) + 5
+    wanted = sorted((a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 : i + 6])
+    assert ids(B.band_pairs(B.prepare(table), max_days=5, blocks=("vendor",))) == wanted
+
+
+def test_both_sides_of_the_join_read_one_exchange(spark, table):
+    from tests.test_model import MODEL
+    from twinbill.plans.triage import flagged_pairs
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, -1)
+    try:
+        labelled = table.withColumns({"is_duplicate_record": F.lit(True), "duplicate_type": F.lit("exact")})
+        for pairs in (pair_features(labelled), B.candidate_pairs(table), flagged_pairs(table, MODEL, prune=False)):
+            pairs.collect()
+            assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("left", [True, False, None])
+@pytest.mark.parametrize("right", [True, False, None])
+def test_type_of_a_pair(spark, left, right):
+    from twinbill.operators.features import pair_type
+
+    schema = "left_is_duplicate_record boolean, left_duplicate_type string, right_is_duplicate_record boolean, right_duplicate_type string"
+    for kinds in (("a", "b"), (None, "b"), ("a", None)):
+        row = spark.createDataFrame([(left, kinds[0], right, kinds[1])], schema).select(pair_type()).first()
+        assert row[0] == (kinds[1] if right else kinds[0])
