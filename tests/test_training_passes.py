@@ -92,3 +92,24 @@ def test_only_unequal_buckets_are_joined(spark):
     assert found == {(3, "text"), (40, "text"), (40, "x"), (40, "n"), (5000, "text"), (5000, "x"), (5000, "n")}
     sides = sorted((r["side"], r["id"]) for r in unequal_rows(a, b).collect())
     assert sides == [("candidate", 1), ("candidate", 3), ("candidate", 9), ("candidate", 5000), ("reference", 3), ("reference", 9), ("reference", 40)]
+
+
+def test_unequal_rows_meet_in_one_aggregate(spark):
+    """Copies count, NULL equals NULL, and the tables are computed once, however often they are read."""
+    from twinbill.operators.compare import unequal_rows
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    schema = "id long, text string"
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (2, None), (3, "z")], schema).mapInArrow(seen, schema)
+    b = spark.createDataFrame([(1, "x"), (2, None), (3, "y"), (3, "y")], schema)
+    found = sorted((r["id"], r["text"], r["side"]) for r in unequal_rows(a, b).collect())
+    assert found == [
+        (1, "x", "reference"), (1, "x", "reference"), (3, "y", "candidate"), (3, "y", "candidate"), (3, "z", "reference"),
+    ]
+    assert calls.value == 5
