@@ -261,3 +261,59 @@ def test_requests_are_judged_by_document(spark, tmp_path):
     }
     counts = sorted((r["invoices"], r["reviewed_pairs"], r["flagged_pairs"]) for r in out.summary.collect())
     assert counts == [(1, 0, 0), (3, 1, 1)]
+
+
+def test_arrivals_are_computed_once_and_read_batch_by_batch(spark):
+    import __spark_entry__ as entry
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    batches = len(entry.ARRIVAL_DAYS) + 1
+    rows = spark.range(40 * batches).mapInArrow(seen, "id long")
+    query = entry._arrive(spark, rows, F.col("id") % batches).writeStream.format("memory").queryName("arrivals")
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert calls.value == 40 * batches
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [40] * batches
+    assert sorted(r["id"] for r in spark.table("arrivals").collect()) == list(range(40 * batches))
+    # no batch may lack a file, whatever its size
+    assert entry._arrival_files([0, 10, 10, 10]) == entry._arrival_files([900_000, 900_000, 1, 1]) == entry.ARRIVAL_FILES
+    assert entry._arrival_files([37_000_000, 9_000_000, 9_000_000, 7_000_000]) == 74
+
+
+def test_streams_keep_their_state_on_disk(spark, tmp_path):
+    from twinbill.streaming import intake
+    from twinbill.streaming.state import ON_DISK
+
+    source, name = str(tmp_path / "in"), "spark.sql.streaming.stateStore.providerClass"
+    rows = spark.createDataFrame([invoice("A"), invoice("B")], INVOICE).withColumn("amount", F.lit("1.00")).drop("group_id")
+    rows.write.parquet(source)
+    before = spark.conf.get(name)
+    own = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(name, own)
+    try:
+        good = intake.accepted(spark.readStream.schema(rows.schema).parquet(source), "5 days")
+        query = intake.append(good, str(tmp_path / "out"), str(tmp_path / "check"))
+        query.awaitTermination()
+        assert spark.conf.get(name) == own != ON_DISK[name]
+    finally:
+        spark.conf.set(name, before)
+    assert any(m.startswith("rocksdb") for m in query.recentProgress[0]["stateOperators"][0]["customMetrics"])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+@pytest.mark.parametrize("width", [4, 8])
+def test_padding_equals_the_format(spark, width):
+    from twinbill.sources.ledger import padded
+
+    numbers = [0, 7, 1234, 12345, 123456789, -5, -123456, 2**62, None]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    same = padded(F.col("n"), width) == F.format_string(f"%0{width}d", "n")
+    assert df.filter(same).count() == len(numbers)
+    # numbers as they are need no format
+    assert df.filter("n >= 0").select(padded(F.col("n"), width)).first()[0] == "0" * width

@@ -4,7 +4,7 @@ Three results come from one stream of untyped invoices. ``accepted`` are typed
 rows that keep the contract, each id once within the lateness; ``quarantine`` are
 rows that break it and ids that came more than once; ``arrivals`` reads from the
 progress of the accepting query how many rows each batch took in and how many of
-them came too late or repeated an id. State is kept by Spark's own operators and
+them came too late or repeated an id. State is kept on disk by Spark's own operators and
 leaves with the watermark, so it is bounded by the invoices of the lateness.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from twinbill.operators import validate as V
+from twinbill.streaming.state import state_on_disk
 
 REPEATED = "invoice_id_repeated"
 ARRIVAL_SCHEMA = "batch bigint, rows_read bigint, accepted bigint, late bigint, repeated bigint"
@@ -61,15 +62,20 @@ def quarantine(invoices: DataFrame, lateness: str = "7 days") -> DataFrame:
 
 
 def append(rows: DataFrame, output: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append rows of a stream to a parquet table; each is written exactly once."""
-    return (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", output)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    """Append rows of a stream to a parquet table; each is written exactly once.
+
+    The ids of the lateness may outgrow the heap, so the query keeps its state on disk; the
+    session's own setting for other queries stays as it is.
+    """
+    with state_on_disk(rows.sparkSession):
+        return (
+            rows.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", output)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
 
 
 def _arrival(progress: dict[str, Any]) -> tuple[int, int, int, int, int]:
